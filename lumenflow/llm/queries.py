@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, ngram_join, sharding, toxicity
+from . import decontaminate, mixing, ngram_join, pii, quality_classifier, quality_rules, sharding, token_counts, toxicity, url_filter
 from .common import table
 
+#: A unigram vocabulary: pieces and scores of a sentencepiece model file.
+VOCABULARY = os.environ.get("LUMENFLOW_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,11 +22,28 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_grade, tail_probability, selected (true): the documents that the ordinal model selects."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_classifier.train(docs, quality_classifier.grades(table(spark, sf_dir, "labels")))
+    return quality_classifier.score(docs, model).where("selected")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, distance, kept (true): the documents within their group's ellipsoid."""
+    return quality_rules.judge(table(spark, sf_dir, "documents")).where("kept")
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, finish_time, total_tokens: what weighted fair queueing serves within the budget."""
     return mixing.schedule(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, toxicity, toxic (true): the documents that the induced lexicon rejects."""
     docs = table(spark, sf_dir, "documents")
@@ -39,7 +60,18 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op4_source_mixing, op6_toxicity, op7_sharding, op8_ngram_jaccard_join)}
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, score, accepted (true): the pages whose URL the two language models accept."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.score(pages, url_filter.train(pages)).where("accepted")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, kind, start, end, found, value: every identifier, disguised or not."""
+    return pii.spans(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontamination, op2_quality_classifier, op3_quality_rules, op4_source_mixing, op5_token_counts, op6_toxicity, op7_sharding, op8_ngram_jaccard_join, op9_url_filter, op10_pii)}
 
 _WEIGHT = " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in mixing.WEIGHTS.items())
 
