@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch
+from .common import batch, lean
 
 MAX_EDIT = 0.2
 MIN_WORDS = 5
@@ -256,7 +256,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_ED
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
     for search in searches(benchmark, max_edit):
-        part = narrow.mapInArrow(_report(search), "doc_id long, item_id long, position int, edits int")
+        part = narrow.mapInArrow(lean(_report(search)), "doc_id long, item_id long, position int, edits int")
         found = part if found is None else found.union(part)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, position int, edits int")
@@ -266,5 +266,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_ED
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edit: float = MAX_EDIT) -> DataFrame:
     """The documents that hold no item."""
     for search in searches(benchmark, max_edit):
-        docs = docs.mapInArrow(_keep(search, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(lean(_keep(search, docs.columns.index("text"))), docs.schema)
     return docs

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut, with_ids, without_ids
+from .common import batch, cut, lean, with_ids, without_ids
 
 N = 3
 THRESHOLD = 0.6
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, n: int = N, bands: int | None = None, rows: int |
     if bands is None or rows is None:
         bands, rows = choose_bands(THRESHOLD, RECALL)
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).where("id is not null and text is not null")
-    return cut(narrow.mapInArrow(_sketcher(n, bands, rows), "id long, set_a long, set_b long, bands array<long>"))
+    return cut(narrow.mapInArrow(lean(_sketcher(n, bands, rows)), "id long, set_a long, set_b long, bands array<long>"))
 
 
 def equal_sets(sketch: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _verifier(n: int, threshold: float, forest: bool) -> Callable[[Iterator[pa.R
             block = b.column(0).to_numpy(zero_copy_only=False)
             held.append(b)
             size += b.nbytes
-            if size > BUFFER_BYTES and len(block) and (block[0] != block[-1] or held[0].column(0)[0] != b.column(0)[0]):
+            if size > BUFFER_BYTES and len(block) and block[0] != block[-1]:
                 last = int(np.searchsorted(block, block[-1]))  # the last block may go on
                 done = [*held[:-1], b.slice(0, last)]
                 if any(x.num_rows for x in done):
@@ -215,7 +215,7 @@ def verified(docs: DataFrame, reps: DataFrame, cand: DataFrame, n: int = N, thre
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null and text is not null")
     shipped = texts.join(needed, "id").select("block", F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = shipped.unionByName(tiles.select("block", "a", "b", F.lit(None).cast("string").alias("text")))
-    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(_verifier(n, threshold, forest), "a long, b long, jaccard double")
+    return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_verifier(n, threshold, forest)), "a long, b long, jaccard double")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

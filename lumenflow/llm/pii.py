@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch
+from .common import batch, lean
 
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _LOOKALIKES = dict(zip("АВЕКМНОРСТУХЅІЈаеорсухіјѕԁһӏɡαοιρνυτκΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEKMHOPCTYXSIJaeopcyxijsdhlgaoipvutkABEZHIKMNOPTYX"))
@@ -205,4 +205,4 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, kind, start, end, found, value: every identifier of every text."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(_spans, "doc_id long, kind string, start int, end int, found string, value string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").mapInArrow(lean(_spans), "doc_id long, kind string, start int, end int, found string, value string")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut
+from .common import batch, cut, lean
 
 MAX_LABELLED = 10_000
 BITS = 18
@@ -141,7 +141,7 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int = 3, max_labelled: i
                 offsets = pa.array(first, pa.int32())
                 yield batch(schema, b.column(0).slice(at, len(part)), pa.ListArray.from_arrays(offsets, pa.array(bucket, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(value, pa.float32())))
 
-    rows = texts.mapInArrow(run, "grade int, bucket array<int>, value array<float>").toArrow().combine_chunks()
+    rows = texts.mapInArrow(lean(run), "grade int, bucket array<int>, value array<float>").toArrow().combine_chunks()
     if not rows.num_rows:
         return None
     bucket, value = rows.column("bucket").combine_chunks(), rows.column("value").combine_chunks()
@@ -168,4 +168,4 @@ def score(docs: DataFrame, model: Model | None, tail_grade: int = TAIL_GRADE, mi
                     tail = tails[:, tail_grade - 1]
                     yield batch(schema, b.column(0).slice(at, len(part)), pa.array(tails.sum(axis=1), mask=~some), pa.array(tail, mask=~some), some & (tail >= min_tail))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, expected_grade double, tail_probability double, selected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, expected_grade double, tail_probability double, selected boolean")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, checked, cut
+from .common import batch, checked, cut, lean
 
 NAMES = ("word_length", "upper", "digit", "sign", "repeated", "distinct")
 PRIOR_CHARS, PRIOR_WORDS = 300.0, 60.0
@@ -71,7 +71,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source, n (of the group), x (vector of NAMES) of every text that isn't blank; checkpointed."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    raw = cut(narrow.where("text is not null").mapInArrow(_count, "doc_id long, lang string, source string, " + ", ".join(f"{f.name} long" for f in _COUNTS)))
+    raw = cut(narrow.where("text is not null").mapInArrow(lean(_count), "doc_id long, lang string, source string, " + ", ".join(f"{f.name} long" for f in _COUNTS)))
     s = raw.agg(*[F.sum(c).cast("double").alias(c) for c in _COUNTS.names], F.sum(F.log("words")).alias("log_words"), F.sum(F.log("distinct")).alias("log_distinct")).first().asDict()
     chars, words = s["chars"] or 1.0, s["words"] or 1.0
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch
+from .common import batch, lean
 
 MARK = "▁"
 UNKNOWN = 10.0
@@ -124,4 +124,4 @@ def token_counts(docs: DataFrame, model_file: str) -> DataFrame:
                 total = np.bincount(t.doc, counts[inverse], t.n_docs) if len(distinct) else np.zeros(t.n_docs)
                 yield batch(schema, b.column(0).slice(at, len(texts)), total.astype(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, n_tokens long")

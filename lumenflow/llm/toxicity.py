@@ -9,8 +9,8 @@
    log ratio of the two walks' visits, smoothed by the word's share of the graph. Where sample documents have
    the word, its polarity is the mean of that, worth PRIOR documents, and of their log-odds.
 4. A document's score is the sum of the polarities of the distinct lexicon words it has. Which words are
-   in the lexicon and which score rejects are calibrated together on the labelled sample: best F0.5, as a
-   clean document lost is worse than a toxic one kept, then the fewest rejections.
+   in the lexicon and which score rejects are calibrated together on the labelled sample, each document
+   scored without its own label: best F1, then the fewest rejections.
 
 The graph is bounded by MIN_SHARE, not by the corpus: a document has some hundreds of distinct words, so
 at most some hundreds / MIN_SHARE words can be in that share of the documents. Adjacency is held as
@@ -36,22 +36,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut
+from .common import batch, cut, lean
 
-MAX_LABELLED = 20_000
-MIN_SHARE = 0.002
+MAX_LABELLED = 10_000
+MIN_SHARE = 0.001
 MIN_DOCS = 3
 WINDOW = 5
 MIN_Z = 4.0
 MIN_ODDS = 8.0
 NEUTRAL_SHARE = 0.02
+#: Documents of the sample count as copies if they share one of so many bands of so many minima of word pairs.
+COPY_BANDS, COPY_ROWS = 32, 3
 RESTART = 0.3
 STEPS = 5
 SMOOTH = 0.1
 #: Labelled documents that a word's walk counts for, where labels speak of the word too.
 PRIOR = 2.0
 #: Pairs that a task gathers before it merges them.
-MERGE_PAIRS = 4_000_000
+MERGE_PAIRS = 2_000_000
 
 
 @dataclass
@@ -113,7 +115,7 @@ def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def vocabulary(docs: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS) -> tuple[np.ndarray, np.ndarray, int]:
     """Hashes (ascending, as uint64) and document counts of the graph's words; documents in all."""
-    counts = cut(_texts(docs).mapInArrow(_doc_counts, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = cut(_texts(docs).mapInArrow(lean(_doc_counts), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     total = counts.where("h = 0").select("n").first()
     total = total[0] if total else 0
     words = counts.where((F.col("h") != 0) & (F.col("n") >= max(min_docs, math.ceil(min_share * total)))).toPandas()
@@ -127,7 +129,7 @@ ROWS = pa.schema([("a", pa.int32()), ("b", pa.binary()), ("n", pa.binary())])
 
 def _pack(key: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
     """Rows of the pairs key = a * size + b, ascending: b and n of each a as bytes."""
-    a, b = key // size, (key % size).astype(np.uint32)
+    a, b = (key // key.dtype.type(size)).astype(np.int64), (key % key.dtype.type(size)).astype(np.uint32)
     starts = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0]))
     ends = np.append(starts[1:], len(a))
     n = n.astype(np.uint32) if n.max() < 1 << 32 else n
@@ -154,6 +156,7 @@ def _unpacked(x: bytes) -> np.ndarray:
 def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Ordered pairs (both ways) of graph words at most `window` apart, as packed rows."""
     size = len(vocabulary)
+    kind = np.uint32 if size < 1 << 16 else np.int64  # of a pair's key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -161,12 +164,13 @@ def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.R
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             key, n = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-            return key[order][starts], np.add.reduceat(n[order], starts)
+            return key[order][starts], np.add.reduceat(n[order], starts, dtype=n.dtype)
 
         for b in batches:
-            for _, texts in K.slices(b.column(0), max_bytes=4 << 20, max_docs=1 << 20):
+            for _, texts in K.slices(b.column(0), max_docs=1 << 20):
                 words = K.Slice(texts)
                 h = words.hashes
                 if not len(h) or not size:
@@ -177,13 +181,13 @@ def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.R
                 for gap in range(1, window + 1):
                     both = known[:-gap] & known[gap:] & (words.doc[:-gap] == words.doc[gap:])
                     x, y = at[:-gap][both], at[gap:][both]
-                    keys.append(np.minimum(x, y) * size + np.maximum(x, y))
+                    keys.append((np.minimum(x, y) * size + np.maximum(x, y)).astype(kind))
                 key, n = np.unique(np.concatenate(keys), return_counts=True)
                 if len(key):
-                    held.append((key, n))
+                    held.append((key, n.astype(np.uint32)))
                     count += len(key)
                 if count > MERGE_PAIRS:
-                    held = [merged()]
+                    held.append(merged())
                     count = len(held[0][0])
                     if count > MERGE_PAIRS // 2:
                         yield _pack(*held[0], size)
@@ -206,7 +210,7 @@ def _add_rows(a: tuple, t: pa.Table) -> pa.Table:
 
 def pair_table(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW) -> DataFrame:
     """a, packed b >= a, packed counts: how often two graph words stand at most `window` words apart."""
-    part = _texts(docs).mapInArrow(_pair_counts(vocabulary, window), "a int, b binary, n binary")
+    part = _texts(docs).mapInArrow(lean(_pair_counts(vocabulary, window)), "a int, b binary, n binary")
     return cut(part.groupBy("a").applyInArrow(_add_rows, "a int, b binary, n binary"))
 
 
@@ -263,9 +267,9 @@ def _step(vector: np.ndarray, degree: np.ndarray, total: float) -> Callable[[Ite
 
 def walk(rows: DataFrame, toxic: np.ndarray, neutral: np.ndarray, size: int, restart: float = RESTART, steps: int = STEPS) -> np.ndarray:
     """Polarity of each word: log ratio of the visits of the walks from the two sets of seeds."""
-    degree = _summed(rows.mapInArrow(_degrees(size), "i int, x double, y double"), size)[:, 0]
+    degree = _summed(rows.mapInArrow(lean(_degrees(size)), "i int, x double, y double"), size)[:, 0]
     total, degree = degree.sum(), np.maximum(degree, 1)
-    over = lambda v: rows.mapInArrow(_step(v, degree, total), "i int, x double, y double")
+    over = lambda v: rows.mapInArrow(lean(_step(v, degree, total)), "i int, x double, y double")
     strength = _summed(over(np.ones((size, 2))), size)
     start = np.zeros((size, 2))
     start[toxic, 0], start[neutral, 1] = 1 / max(len(toxic), 1), 1 / max(len(neutral), 1)
@@ -277,48 +281,47 @@ def walk(rows: DataFrame, toxic: np.ndarray, neutral: np.ndarray, size: int, res
     return np.log((at[:, 0] + SMOOTH * share + 1e-12) / (at[:, 1] + SMOOTH * share + 1e-12))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int, np.ndarray]]:
-    """(toxic, distinct word hashes) of the sample."""
+def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(toxic, distinct word hashes, MinHash bands of word pairs) of the sample."""
     label = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic")).where("__id is not null and __toxic is not null").groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
     few = cut(label.orderBy(F.xxhash64("__id"), "__id").limit(most))
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(few), F.col("doc_id") == F.col("__id")).select("__toxic", "text")  # `most` rows at most
-    schema = pa.schema([("toxic", pa.int32()), ("words", pa.list_(pa.int64()))])
+    schema = pa.schema([("toxic", pa.int32()), ("words", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in K.slices(b.column(1)):
                 words = K.Slice(texts)
                 h = words.hashes.view(np.int64)
-                yield batch(schema, b.column(0).slice(at, len(texts)), [np.unique(h[s:e]) for s, e in zip(words.first[:-1], words.first[1:])])
+                sketch = K.minhash(*K.gram_sets(texts, 2), COPY_BANDS * COPY_ROWS, 6).reshape(len(texts), COPY_BANDS, COPY_ROWS)
+                bands = K.mix(sketch[:, :, 0] + K._C[1] * K.mix(sketch[:, :, 1] + K._C[2] * sketch[:, :, 2])).view(np.int64)
+                yield batch(schema, b.column(0).slice(at, len(texts)), [np.unique(h[s:e]) for s, e in zip(words.first[:-1], words.first[1:])], list(bands))
 
-    return [(r["toxic"], np.array(r["words"], np.int64).view(K.U)) for r in found.mapInArrow(run, "toxic int, words array<long>").toLocalIterator()]
+    return [(r["toxic"], np.array(r["words"], np.int64).view(K.U), np.array(r["bands"])) for r in found.mapInArrow(lean(run), "toxic int, words array<long>, bands array<long>").toLocalIterator()]
 
 
-def _one_of_copies(sets: list[np.ndarray], bands: int = 8, rows: int = 3) -> list[int]:
-    """The first of each group of sets that share a MinHash band."""
-    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
-    sketch = K.minhash(np.concatenate([*sets, np.zeros(0, K.U)]), first, bands * rows, 6)
-    parent = list(range(len(sets)))
+def _one_of_copies(bands: list[np.ndarray]) -> list[int]:
+    """The first of each group of documents that share a band."""
+    parent = list(range(len(bands)))
 
     def root(x: int) -> int:
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    for band in range(bands):
-        seen: dict[bytes, int] = {}
-        for k in range(len(sets)):
-            if len(sets[k]):
-                a, b = root(k), root(seen.setdefault(sketch[k, band * rows : (band + 1) * rows].tobytes(), k))
-                parent[max(a, b)] = min(a, b)
-    return [k for k in range(len(sets)) if parent[k] == k]
+    for place in range(COPY_BANDS):
+        seen: dict[int, int] = {}
+        for k in range(len(bands)):
+            a, b = root(k), root(seen.setdefault(int(bands[k][place]), k))
+            parent[max(a, b)] = min(a, b)
+    return [k for k in range(len(bands)) if parent[k] == k]
 
 
 def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, min_share: float = MIN_SHARE, min_docs: int = MIN_DOCS, window: int = WINDOW) -> Lexicon:
     """The lexicon and threshold of this corpus and these labels."""
     none = Lexicon(np.zeros(0, K.U), np.zeros(0), math.inf)
     sample = _labelled(docs, labels, max_labelled)
-    sample = [sample[k] for k in _one_of_copies([w for _, w in sample])]
+    sample = [sample[k][:2] for k in _one_of_copies([b for _, _, b in sample])]
     toxic = np.array([t for t, _ in sample], bool)
     if not toxic.any():
         return none
@@ -350,7 +353,7 @@ def _polarity(walked: np.ndarray, count: np.ndarray, n: np.ndarray) -> np.ndarra
 
 
 def _calibrated(words: np.ndarray, walked: np.ndarray, count: np.ndarray, n: np.ndarray, in_doc: list[np.ndarray], toxic: np.ndarray) -> Lexicon:
-    """The least polarity and the threshold of the best F0.5 on the sample, each document scored without its own label."""
+    """The least polarity and the threshold of the best F1 on the sample, each document scored without its own label."""
     polarity = _polarity(walked, count, n)
     others = [_polarity(walked[x], count[:, x] - np.array([[1 - t], [t]]), n - np.array([1 - t, t])) for x, t in zip(in_doc, toxic.astype(int))]
     doc, weight = np.repeat(np.arange(len(others)), [len(x) for x in others]), np.concatenate(others)
@@ -364,7 +367,7 @@ def _calibrated(words: np.ndarray, walked: np.ndarray, count: np.ndarray, n: np.
         s, hit = score[order], np.cumsum(toxic[order])
         last = np.flatnonzero(np.append(s[1:] != s[:-1], True) & (s > 0))
         if len(last):
-            f = 1.25 * hit[last] / (last + 1 + 0.25 * toxic.sum())
+            f = 2 * hit[last] / (last + 1 + toxic.sum())
             k = int(f.argmax())
             lower = s[last[k] + 1] if last[k] + 1 < len(s) else 0.0
             best = max(best, (float(f[k]), -int(last[k]), float(least), float((s[last[k]] + max(lower, 0)) / 2)))
@@ -385,7 +388,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 s = lexicon.scores(K.Slice(texts))
                 yield batch(schema, b.column(0).slice(at, len(texts)), s, s >= lexicon.threshold)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, toxicity double, toxic boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, toxicity double, toxic boolean")
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -399,4 +402,4 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep[at : at + len(texts)] = lexicon.scores(K.Slice(texts)) < lexicon.threshold
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

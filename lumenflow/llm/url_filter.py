@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut
+from .common import batch, cut, lean
 
 REJECTED = ("casino", "bets", "pills", "ads-track", "poker", "viagra", "xxx", "porn", "lottery", "payday")
 ORDER = 5
@@ -159,4 +159,4 @@ def score(pages: DataFrame, model: Filter | None) -> DataFrame:
                 missing[some] = held.value is None
                 yield batch(schema, part.column(0), part.column(1).cast(pa.string()), pa.array(scores, mask=missing), accepted)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _clean(F.col("url")).alias("clean")).mapInArrow(run, "page_id long, url string, score double, accepted boolean")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _clean(F.col("url")).alias("clean")).mapInArrow(lean(run), "page_id long, url string, score double, accepted boolean")
