@@ -1,0 +1,5 @@
+"""Column expressions."""
+
+from . import scalars, vectors
+
+__all__ = ["scalars", "vectors"]
