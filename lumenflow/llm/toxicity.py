@@ -14,7 +14,7 @@
 
 The graph is bounded by MIN_SHARE, not by the corpus: a document has some hundreds of distinct words, so
 at most some hundreds / MIN_SHARE words can be in that share of the documents. Adjacency is held as
-packed rows, one a word, so what is shuffled is a few bytes a pair.
+packed rows of BLOCK_WORDS words, so what is shuffled is a few bytes a pair.
 
 Defined results
 ---------------
@@ -53,7 +53,9 @@ SMOOTH = 0.1
 #: Labelled documents that a word's walk counts for, where labels speak of the word too.
 PRIOR = 2.0
 #: Pairs that a task gathers before it merges them.
-MERGE_PAIRS = 2_000_000
+MERGE_PAIRS = 4_000_000
+#: Words whose pairs are one packed row.
+BLOCK_WORDS = 256
 
 
 @dataclass
@@ -66,7 +68,7 @@ class Lexicon:
 
     def scores(self, words: K.Slice) -> np.ndarray:
         out = np.zeros(words.n_docs)
-        hashes = words.hashes
+        hashes = word_ids(words)
         if len(self.hashes) and len(hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             hit = np.flatnonzero(self.hashes[at] == hashes)
@@ -75,6 +77,11 @@ class Lexicon:
         return out
 
 
+def word_ids(words: K.Slice) -> np.ndarray:
+    """52 bits of each word's hash: with a document's index they are one sort key."""
+    return words.hashes & K._GRAM_MASK
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).where("text is not null")
 
@@ -94,11 +101,9 @@ def _doc_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs += b.num_rows
         for _, texts in K.slices(b.column(0)):
             words = K.Slice(texts)
-            key = np.lexsort((words.hashes, words.doc))
-            h, d = words.hashes[key], words.doc[key]
-            if len(h):
-                new = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
-                u, n = np.unique(h[new], return_counts=True)
+            keys = np.sort((words.doc.astype(K.U) << K.U(K.GRAM_BITS)) | word_ids(words))
+            if len(keys):
+                u, n = np.unique(keys[np.concatenate([[True], keys[1:] != keys[:-1]])] & K._GRAM_MASK, return_counts=True)
                 held.append((u.view(np.int64), n))
                 size += len(u)
             if size > MERGE_PAIRS:
@@ -124,25 +129,28 @@ def vocabulary(docs: DataFrame, min_share: float = MIN_SHARE, min_docs: int = MI
     return h[order], words["n"].to_numpy(np.int64)[order], total
 
 
-ROWS = pa.schema([("a", pa.int32()), ("b", pa.binary()), ("n", pa.binary())])
+ROWS = pa.schema([("block", pa.int32()), ("pairs", pa.binary()), ("n", pa.binary())])
 
 
 def _pack(key: np.ndarray, n: np.ndarray, size: int) -> pa.RecordBatch:
-    """Rows of the pairs key = a * size + b, ascending: b and n of each a as bytes."""
-    a, b = (key // key.dtype.type(size)).astype(np.int64), (key % key.dtype.type(size)).astype(np.uint32)
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(a) != 0]))
-    ends = np.append(starts[1:], len(a))
-    n = n.astype(np.uint32) if n.max() < 1 << 32 else n
+    """Rows of the pairs key = a * size + b, ascending: those of BLOCK_WORDS words a in a row, as bytes."""
+    block = key // key.dtype.type(size * BLOCK_WORDS)
+    starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(starts[1:], len(key))
     compress = pa.Codec("zstd", 1).compress
-    # differences of ascending b, split by bytes, compress well
-    gap = np.diff(b, prepend=np.uint32(0))
-    gap[starts] = b[starts]
-    return batch(ROWS, a[starts].astype(np.int32), [_packed(gap[s:e], compress) for s, e in zip(starts, ends)], [_packed(n[s:e], compress) for s, e in zip(starts, ends)])
+    gap = np.diff(key, prepend=key.dtype.type(0))
+    gap[starts] = key[starts] - block[starts] * key.dtype.type(size * BLOCK_WORDS)
+    return batch(ROWS, block[starts].astype(np.int32), [_packed(gap[s:e], compress) for s, e in zip(starts, ends)], [_packed(n[s:e], compress) for s, e in zip(starts, ends)])
+
+
+def _pairs(block: int, pairs: bytes, size: int) -> np.ndarray:
+    """The keys of a packed row."""
+    return np.cumsum(_unpacked(pairs)) + block * size * BLOCK_WORDS
 
 
 def _packed(x: np.ndarray, compress) -> bytes:
     width = 1 if x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
-    raw = x.astype(f"<u{width}").tobytes()
+    raw = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()  # high bytes together: mostly 0
     small = compress(raw, asbytes=True)
     return bytes([width]) + len(raw).to_bytes(4, "little") + (small if len(small) < len(raw) else raw)
 
@@ -150,11 +158,11 @@ def _packed(x: np.ndarray, compress) -> bytes:
 def _unpacked(x: bytes) -> np.ndarray:
     width, size, body = x[0], int.from_bytes(x[1:5], "little"), x[5:]
     raw = body if len(body) == size else pa.Codec("zstd").decompress(body, size, asbytes=True)
-    return np.frombuffer(raw, f"<u{width}").astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
 def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Ordered pairs (both ways) of graph words at most `window` apart, as packed rows."""
+    """Pairs of graph words at most `window` apart, as packed rows."""
     size = len(vocabulary)
     kind = np.uint32 if size < 1 << 16 else np.int64  # of a pair's key
 
@@ -172,7 +180,7 @@ def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.R
         for b in batches:
             for _, texts in K.slices(b.column(0), max_docs=1 << 20):
                 words = K.Slice(texts)
-                h = words.hashes
+                h = word_ids(words)
                 if not len(h) or not size:
                     continue
                 at = np.minimum(np.searchsorted(vocabulary, h), size - 1)
@@ -198,31 +206,39 @@ def _pair_counts(vocabulary: np.ndarray, window: int) -> Callable[[Iterator[pa.R
     return run
 
 
-def _add_rows(a: tuple, t: pa.Table) -> pa.Table:
-    """One packed row of all packed rows of a word."""
-    b = np.concatenate([np.cumsum(_unpacked(x)) for x in t.column("b").to_pylist()])
-    n = np.concatenate([_unpacked(x) for x in t.column("n").to_pylist()])
-    u, inverse = np.unique(b, return_inverse=True)
-    sums = np.bincount(inverse, n).astype(np.int64)
-    compress = pa.Codec("zstd", 1).compress
-    return pa.Table.from_batches([batch(ROWS, [a[0].as_py()], [_packed(np.diff(u, prepend=0), compress)], [_packed(sums, compress)])])
+def _add_rows(size: int) -> Callable[[tuple, pa.Table], pa.Table]:
+    """One packed row of all packed rows of a block."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        pairs = np.concatenate([_pairs(0, x, size) for x in t.column("pairs").to_pylist()])
+        n = np.concatenate([_unpacked(x) for x in t.column("n").to_pylist()])
+        u, inverse = np.unique(pairs, return_inverse=True)
+        return pa.Table.from_batches([_pack(u + block * size * BLOCK_WORDS, np.bincount(inverse, n).astype(np.int64), size)])
+
+    return run
 
 
 def pair_table(docs: DataFrame, vocabulary: np.ndarray, window: int = WINDOW) -> DataFrame:
-    """a, packed b >= a, packed counts: how often two graph words stand at most `window` words apart."""
-    part = _texts(docs).mapInArrow(lean(_pair_counts(vocabulary, window)), "a int, b binary, n binary")
-    return cut(part.groupBy("a").applyInArrow(_add_rows, "a int, b binary, n binary"))
+    """block, pairs, n: how often two graph words stand at most `window` words apart, packed by blocks of BLOCK_WORDS words."""
+    part = _texts(docs).mapInArrow(lean(_pair_counts(vocabulary, window)), "block int, pairs binary, n binary")
+    return cut(part.groupBy("block").applyInArrow(_add_rows(len(vocabulary)), "block int, pairs binary, n binary"))
+
+
+def _edges(b: pa.RecordBatch, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, counts) of each packed row."""
+    for block, pairs, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+        key = _pairs(block, pairs, size)
+        yield key // size, key % size, _unpacked(n)
 
 
 def _degrees(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size, 1))
-        for b in batches:
-            for a, x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                to, n = np.cumsum(_unpacked(x)), _unpacked(n)
-                total[a] += n.sum()
-                np.add.at(total[:, 0], to, n)
-        yield from _vector(total)
+        total = np.zeros(size)
+        for part in batches:
+            for a, b, n in _edges(part, size):
+                total += np.bincount(a, n, size) + np.bincount(b, n, size)
+        yield from _vector(total[:, None])
 
     return run
 
@@ -243,23 +259,24 @@ def _summed(df: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _weights(a: int, to: np.ndarray, n: np.ndarray, degree: np.ndarray, total: float) -> np.ndarray:
+def _weights(a: np.ndarray, b: np.ndarray, n: np.ndarray, degree: np.ndarray, total: float) -> np.ndarray:
     """Positive pointwise mutual information, discounted for small counts."""
-    pmi = np.log(n * total / (degree[a] * degree[to]))
-    least = np.minimum(degree[a], degree[to])
+    pmi = np.log(n * total / (degree[a] * degree[b]))
+    least = np.minimum(degree[a], degree[b])
     return np.maximum(pmi, 0) * (n / (n + 1)) * (least / (least + 1))
 
 
 def _step(vector: np.ndarray, degree: np.ndarray, total: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    size = len(degree)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros_like(vector)
-        for b in batches:
-            for a, x, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                to = np.cumsum(_unpacked(x))
-                w = _weights(a, to, _unpacked(n), degree, total)[:, None]
-                out[a] += (w * vector[to]).sum(axis=0)
-                other = to != a
-                out[to[other]] += w[other] * vector[a]
+        for part in batches:
+            for a, b, n in _edges(part, size):
+                w = _weights(a, b, n, degree, total)
+                other = np.where(a != b, w, 0)
+                for k in range(vector.shape[1]):
+                    out[:, k] += np.bincount(a, w * vector[b, k], size) + np.bincount(b, other * vector[a, k], size)
         yield from _vector(out)
 
     return run
@@ -292,7 +309,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int,
         for b in batches:
             for at, texts in K.slices(b.column(1)):
                 words = K.Slice(texts)
-                h = words.hashes.view(np.int64)
+                h = word_ids(words).view(np.int64)
                 sketch = K.minhash(*K.gram_sets(texts, 2), COPY_BANDS * COPY_ROWS, 6).reshape(len(texts), COPY_BANDS, COPY_ROWS)
                 bands = K.mix(sketch[:, :, 0] + K._C[1] * K.mix(sketch[:, :, 1] + K._C[2] * sketch[:, :, 2])).view(np.int64)
                 yield batch(schema, b.column(0).slice(at, len(texts)), [np.unique(h[s:e]) for s, e in zip(words.first[:-1], words.first[1:])], list(bands))
