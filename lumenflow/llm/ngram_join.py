@@ -55,7 +55,9 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES)
     best = None
     for rows in range(1, max_hashes + 1):
         hit = threshold**rows
-        bands = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1
+        if hit == 0:
+            break
+        bands = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
         if bands * rows <= max_hashes:
             best = bands, rows
     if best is None:
