@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import col
+from .vectors import bound, col
 
 AGGREGATE_WORDS = ("how many", "how often", "count", "number of", "total", "overall", "summar", "main topic", "mainly", "throughout", "in general", "average", "most of", "all of", "order of", "sequence", "entire")
 META_TASKS = {"caption": "caption", "description": "caption", "object": "object", "localisation": "object", "action": "action", "count": "action", "reasoning": "reasoning", "causal": "reasoning"}
@@ -70,7 +70,7 @@ def sidecar_name(path: Column | str, encoder: Column | str, fps: Column | str) -
 
 def log_odds(yes: Column | str, no: Column | str) -> Column:
     """Difference of the log-sum-exps of two lists of logits."""
-    lse = lambda v: F.array_max(v) + F.ln(F.aggregate(F.transform(v, lambda x: F.exp(x - F.array_max(v))), F.lit(0.0), lambda s, x: s + x))
+    lse = lambda v: bound(F.array_max(v), lambda m: m + F.ln(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - m))))
     return lse(col(yes)) - lse(col(no))
 
 
@@ -86,28 +86,40 @@ def thinned(frame_idx: Column | str, every: int) -> Column:
 
 
 def sentences(text: Column | str, least: int = 25) -> Column:
-    """Sentences; a fragment shorter than `least` characters is glued to the one before."""
+    """Sentences; a fragment shorter than `least` characters is glued to the one before.
+
+    Whether a part starts a sentence depends on its own length alone, so the parts are cut at the starts: no fold.
+    """
     parts = F.filter(F.transform(F.split(col(text), r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
-    def glue(out: Column, s: Column) -> Column:
-        short = (F.length(s) < least) & (F.size(out) > 0)
-        return F.when(short, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat_ws(" ", F.element_at(out, -1), s)))).otherwise(F.concat(out, F.array(s)))
-    return F.aggregate(parts, F.array().cast("array<string>"), lambda out, s: F.when(F.size(out) == 0, F.array(s)).otherwise(glue(out, s)))
+
+    def joined(p: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.length(F.element_at(p, i)) >= least))
+        pairs = bound(starts, lambda s: F.arrays_zip(s.alias("a"), F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(p) + 1)).alias("b")))
+        return F.transform(pairs, lambda z: F.array_join(F.slice(p, z["a"], z["b"] - z["a"]), " "))
+
+    return bound(parts, lambda p: F.when(F.size(p) > 0, joined(p)).otherwise(F.array().cast("array<string>")))
 
 
 def windows(items: Column | str, size: int, stride: int) -> Column:
     """Runs of `size` items every `stride`, joined by spaces; one run if there are fewer."""
-    v = col(items)
-    last = F.greatest(F.lit(0), F.size(v) - size)
-    starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.pmod(i, F.lit(stride)) == 0)
-    return F.when(F.size(v) > 0, F.transform(starts, lambda i: F.array_join(F.slice(v, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(v: Column) -> Column:
+        last = F.greatest(F.lit(0), F.size(v) - size)
+        starts = F.filter(F.sequence(F.lit(0), last), lambda i: F.pmod(i, F.lit(stride)) == 0)
+        return F.when(F.size(v) > 0, F.transform(starts, lambda i: F.array_join(F.slice(v, i + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(col(items), cut)
 
 
 def token_windows(text: Column | str, size: int, overlap: int) -> Column:
     """Word windows of `size` with an overlap, the last one possibly shorter."""
-    tokens = F.filter(F.split(F.trim(col(text)), r"\s+"), lambda t: t != "")
     step = max(1, size - overlap)
-    count = F.greatest(F.lit(1), F.ceil((F.size(tokens) - overlap) / F.lit(step))).cast("int")
-    return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(tokens, i * step + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(tokens: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil((F.size(tokens) - overlap) / F.lit(step))).cast("int")
+        return F.when(F.size(tokens) > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice(tokens, i * step + 1, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.filter(F.split(F.trim(col(text)), r"\s+"), lambda t: t != ""), cut)
 
 
 def hit_json(*columns: str) -> Column:

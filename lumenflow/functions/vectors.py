@@ -12,6 +12,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: an expression that a lambda mentions is else computed at each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product, accumulated in double from the first dimension on; null if either side is null."""
     products = F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double"))

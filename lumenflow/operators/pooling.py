@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import power_mean, topk_mean
+from ..functions.vectors import bound, power_mean, topk_mean
 
 EMPTY = -1e9
 GRID = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
@@ -21,7 +21,7 @@ def chunked(frames: DataFrame, width: float, n_chunks: Column | str) -> DataFram
 def estimate(values: Column, mode: str, param: float = 0.0, video_min: Column | None = None) -> Column:
     """One score of an array of scores: max, mean, topk (k), adaptive (k = n / f), softmax (tau), power (p), varpen and varbonus (lambda)."""
     avg = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / F.size(values)
-    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - avg) * (x - avg)) / F.size(values))
+    spread = bound(avg, lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(values)))
     top = F.array_max(values)
     if mode == "max":
         return top
@@ -32,8 +32,8 @@ def estimate(values: Column, mode: str, param: float = 0.0, video_min: Column |
     if mode == "adaptive":
         return topk_mean(values, F.greatest(F.lit(1), F.bround(F.size(values) / F.lit(float(param))).cast("int")))
     if mode == "softmax":
-        weight = lambda x: F.exp(F.lit(float(param)) * (x - top))
-        return F.aggregate(values, F.lit(0.0), lambda s, x: s + weight(x) * x) / F.aggregate(values, F.lit(0.0), lambda s, x: s + weight(x))
+        weight = lambda x, m: F.exp(F.lit(float(param)) * (x - m))
+        return bound(top, lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + weight(x, m) * x) / F.aggregate(values, F.lit(0.0), lambda s, x: s + weight(x, m)))
     if mode == "power":
         least = F.array_min(values) if video_min is None else video_min
         return power_mean(values, float(param), F.lit(1e-6) - least)

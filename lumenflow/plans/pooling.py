@@ -131,10 +131,10 @@ def chunk_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTS = "ls AS (SELECT l_orderkey, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY l_orderkey)"
 
 
-@query(f"WITH {LISTS} SELECT l_orderkey, round({TOP.format(k=1)}, 4) AS k1, round({TOP.format(k=2)}, 4) AS k2, round({TOP.format(k=99)}, 4) AS k99 FROM ls")
+@query(f"WITH {LISTS} SELECT l_orderkey, round({TOP.format(k=1)}, 6) AS k1, round({TOP.format(k=2)}, 6) AS k2, round({TOP.format(k=99)}, 6) AS k99 FROM ls")
 def topk_mean_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = ad.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_extendedprice")).alias("v"))
-    return v.select("l_orderkey", *[F.round(topk_mean("v", k), 4).alias(f"k{k}") for k in (1, 2, 99)])
+    return v.select("l_orderkey", *[F.round(topk_mean("v", k), 6).alias(f"k{k}") for k in (1, 2, 99)])
 
 
 @query(f"WITH {LISTS} SELECT l_orderkey, round(list_avg(list_sort(v)[1:2]), 4) AS low FROM ls")
@@ -207,7 +207,8 @@ def auc_rank_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POOL}, o AS (SELECT grp, item, s, pos, (SELECT count(*) FROM sk b WHERE b.k = 1 AND b.grp = sk.grp AND NOT b.pos AND b.s < sk.s) AS beaten, (SELECT count(*) FROM sk b WHERE b.k = 1 AND b.grp = sk.grp AND NOT b.pos) AS n FROM sk WHERE k = 1 AND pos) SELECT grp AS \"group\", item, round(CASE WHEN beaten < 3 THEN 0 ELSE exp(ln(beaten / n) + ln((beaten - 1) / (n - 1)) + ln((beaten - 2) / (n - 2))) END, 6) AS p FROM o WHERE n >= 3")
 def win_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = ad.pools(spark, sf_dir).withColumn("s", F.array_max("scores"))
-    below = F.count(F.when(~F.col("is_positive"), 1)).over(Window.partitionBy("group").orderBy("s").rangeBetween(Window.unboundedPreceding, -1e-9))
+    rivals = F.count(F.when(~F.col("is_positive"), 1))
+    below = rivals.over(Window.partitionBy("group").orderBy("s").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - rivals.over(Window.partitionBy("group", "s"))
     n = F.count(F.when(~F.col("is_positive"), 1)).over(Window.partitionBy("group"))
     rows = p.withColumns({"beaten": below, "n": n}).where("is_positive and n >= 3")
     return rows.select("group", "item", F.round(po.win_probability(F.col("beaten"), F.col("n"), 3), 6).alias("p"))

@@ -87,11 +87,11 @@ def segment_adaptive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {COLL}, {QS}, {SC},
-    at AS (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY frame_idx) - 1 AS at, count(*) OVER (PARTITION BY query_id, video) AS n FROM sc),
-    strata AS (SELECT DISTINCT query_id, video, n, i, CAST(n AS DOUBLE) / least(8, n) AS width FROM at, generate_series(0, 7) AS g(i) WHERE i < least(8, n)),
-    chosen AS (SELECT DISTINCT query_id, video, CAST(floor(i * width + CAST('0x' || substr(md5('0:' || video || ':' || i), 1, 8) AS BIGINT) / 4294967296.0 * width) AS BIGINT) AS at FROM strata)
-    SELECT at.query_id, at.video, frame_idx, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY at.query_id, at.video ORDER BY frame_idx) AS INT) AS pick
-    FROM at JOIN chosen ON at.query_id = chosen.query_id AND at.video = chosen.video AND at.at = chosen.at"""
+    pl AS (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY frame_idx) - 1 AS place, count(*) OVER (PARTITION BY query_id, video) AS n FROM sc),
+    strata AS (SELECT DISTINCT query_id, video, n, i, CAST(n AS DOUBLE) / least(8, n) AS width FROM pl, generate_series(0, 7) AS g(i) WHERE i < least(8, n)),
+    chosen AS (SELECT DISTINCT query_id, video, CAST(floor(i * width + CAST('0x' || substr(md5('0:' || video || ':' || i), 1, 8) AS BIGINT) / 4294967296.0 * width) AS BIGINT) AS place FROM strata)
+    SELECT pl.query_id, pl.video, frame_idx, round(sim, 6) AS sim, CAST(row_number() OVER (PARTITION BY pl.query_id, pl.video ORDER BY frame_idx) AS INT) AS pick
+    FROM pl JOIN chosen ON pl.query_id = chosen.query_id AND pl.video = chosen.video AND pl.place = chosen.place"""
 )
 def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(se.uniform(fr.similarity(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir)), 8), "query_id", "video", "frame_idx", "sim", "pick")
@@ -129,7 +129,15 @@ def first_of_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.first_of_segments(fr.cut_into(fr.adjacent_similarity(ad.collection(spark, sf_dir)), 10)).select("video", "seg_id", "frame_idx")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {COLL}, n AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame_idx) AS rn FROM coll),
+    walk AS (
+        SELECT video, frame_idx, ts, rn, e AS total, 0 AS seg_id FROM n WHERE rn = 1
+        UNION ALL
+        SELECT video, frame_idx, ts, rn, CASE WHEN joins THEN list_transform(list_zip(total, e), lambda z: z[1] + z[2]) ELSE e END, CASE WHEN joins THEN seg_id ELSE seg_id + 1 END FROM (
+            SELECT n.*, total, seg_id, list_dot_product(e, total) / (sqrt(list_dot_product(total, total)) + 1e-12) >= 0.2 AS joins FROM walk JOIN n ON n.video = walk.video AND n.rn = walk.rn + 1))
+    SELECT video, frame_idx, ts, seg_id FROM walk"""
+)
 def greedy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.greedy_segments(ad.collection(spark, sf_dir), 0.2)
 

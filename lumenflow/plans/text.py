@@ -30,7 +30,14 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _windows(spark, sf_dir).select("doc_id", "passage", F.md5("text").alias("digest"))
 
 
-@query()
+@query(
+    """WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '') AS l FROM documents),
+    u AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM p),
+    g AS (SELECT *, sum(CASE WHEN i = 1 OR len(s) >= 25 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM u),
+    j AS (SELECT doc_id, grp, string_agg(s, ' ' ORDER BY i) AS s FROM g GROUP BY ALL),
+    w AS (SELECT doc_id, grp, s, lead(s) OVER (PARTITION BY doc_id ORDER BY grp) AS nxt, count(*) OVER (PARTITION BY doc_id) AS n FROM j)
+    SELECT doc_id, CAST(grp - 1 AS INT) AS passage, md5(CASE WHEN nxt IS NULL THEN s ELSE s || ' ' || nxt END) AS digest FROM w WHERE nxt IS NOT NULL OR n = 1"""
+)
 def sentence_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return do.passages(ad.table(spark, sf_dir, "documents"), 2, 1).select("doc_id", "passage", F.md5("text").alias("digest"))
 
