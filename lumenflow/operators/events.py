@@ -77,8 +77,8 @@ def evaluate_selection(truth: DataFrame, selected: DataFrame, threshold: float =
     """
     near = nearest(selected, truth, keys, None, ("frame_idx", "score"))
     far = F.abs(F.col("near_ts") - F.col("ts")) > max_snap_s
-    near = near.withColumn("near_ts", F.when(far | F.col("near_ts").isNull(), F.raise_error(F.lit(f"a selected time is more than {max_snap_s} s from any truth row"))).otherwise(F.col("near_ts")))
-    near = near.withColumn("ok", F.col("near_score") > threshold)
+    error = F.raise_error(F.lit(f"a selected time is more than {max_snap_s} s from any truth row"))
+    near = near.withColumn("ok", F.when(far | F.col("near_ts").isNull(), error).otherwise(F.col("near_score") > threshold))
     counts = near.groupBy(*keys).agg(F.count("*").alias("n_selected"), F.count_if("ok").alias("n_confirmed"), F.avg(F.col("ok").cast("double")).alias("precision"))
     hits = near.where("ok").select(*keys, F.col("near_ts").alias("ts"), F.col("near_frame_idx").alias("frame_idx"))
     events = events_from_scores(truth, threshold, merge_gap_s, 1, keys)
