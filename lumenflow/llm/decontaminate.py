@@ -10,7 +10,7 @@ item's. A table samples a few coordinates; windows that agree on all coordinates
 are a candidate. Candidates are verified by the exact edit distance between the item and
 its best placement in the text.
 
-Windows of similar length share tables. An item of more than MAX_WINDOW words is searched by its consecutive
+Windows of similar length share tables. Items of fewer than SHORT words are searched from every position. An item of more than MAX_WINDOW words is searched by its consecutive
 pieces: within the edit bound, some piece keeps within its own share of it.
 
 Defined results
@@ -41,6 +41,8 @@ MAX_EDIT = 0.2
 MIN_WORDS = 5
 MAX_WINDOW = 64
 STRIDE = 4
+#: Items of fewer words are searched from every position, in a pass of their own: offset windows of them would be too short to tell.
+SHORT = 12
 WALKS = 3
 #: Tables of each walk and class of lengths, coordinates of each table; tests/llm measure the recall at the edit bound.
 TABLES = 9
@@ -82,11 +84,12 @@ class Search:
     def __init__(self, items: list[tuple[int, np.ndarray]], max_edit: float = MAX_EDIT):
         self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
         self.max_edit = max_edit
+        self.stride = 1 if any(len(w) < SHORT for _, w in self.items) else STRIDE
         windows = []
         for k, (_, w) in enumerate(self.items):
             pieces = max(1, round(len(w) / MAX_WINDOW))
             bounds = np.linspace(0, len(w), pieces + 1).astype(int)
-            windows += [(k, lo + o, hi) for lo, hi in zip(bounds[:-1], bounds[1:]) for o in range(min(STRIDE, hi - lo))]
+            windows += [(k, lo + o, hi) for lo, hi in zip(bounds[:-1], bounds[1:]) for o in range(self.stride)]
         by_class: dict[int, list[int]] = defaultdict(list)
         for x, (_, lo, hi) in enumerate(windows):
             by_class[least_of_class(hi - lo)].append(x)
@@ -96,9 +99,9 @@ class Search:
         for least, members in sorted(by_class.items()):
             _, sampled = coordinates(least)
             for walk in range(WALKS):
-                embedded = [self._embed(self.items[windows[x][0]][1][windows[x][1] : windows[x][2]], walk) for x in members]
+                embedded = self._embed([self.items[windows[x][0]][1][windows[x][1] : windows[x][2]] for x in members], walk, coordinates(least)[0])
                 for table in sampled[walk]:
-                    keys = self._key(np.array([[e[j] for j in table] for e in embedded], K.U).T)
+                    keys = self._key(embedded[table])
                     order = np.argsort(keys, kind="stable")
                     size = 1 << max(16, int(8 * len(keys)).bit_length())
                     hit = np.zeros(size, bool)
@@ -112,12 +115,15 @@ class Search:
             key = (key ^ (key >> K.U(29))) + outputs[k] * K._C[k % 8]
         return key ^ (key >> K.U(31))
 
-    def _embed(self, words: np.ndarray, walk: int) -> np.ndarray:
-        words = np.concatenate([words, [K.U(0)]])
-        bits, at, out = step_bits(words, walk, self.steps), 0, np.zeros(self.steps, K.U)
-        for j in range(self.steps):
-            out[j] = words[at]
-            at += int(bits[j >> 6][at] >> K.U(j & 63)) & 1
+    @staticmethod
+    def _embed(windows: list[np.ndarray], walk: int, steps: int) -> np.ndarray:
+        """[steps, windows]: what the walk outputs over each window, 0 past its end."""
+        padded = np.concatenate([np.append(w, K.U(0)) for w in windows])
+        bits, at = step_bits(padded, walk, steps), np.cumsum([0, *(len(w) + 1 for w in windows[:-1])])
+        out = np.zeros((steps, len(windows)), K.U)
+        for j in range(steps):
+            out[j] = padded[at]
+            at = at + ((bits[j >> 6][at] >> K.U(j & 63)) & K.U(1)).astype(np.int64)
         return out
 
     def candidates(self, padded: np.ndarray, walks: int = WALKS) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +136,8 @@ class Search:
             for t, (_, _, table, *_) in enumerate(own):
                 for k, j in enumerate(table):
                     wanted[int(j)].append((t, k))
-            for lo in range(0, len(padded), BLOCK * STRIDE):
-                at = np.arange(lo, min(lo + BLOCK * STRIDE, len(padded)), STRIDE, dtype=np.int64)
+            for lo in range(0, len(padded), BLOCK * self.stride):
+                at = np.arange(lo, min(lo + BLOCK * self.stride, len(padded)), self.stride, dtype=np.int64)
                 start = padded[at] != 0
                 keys: list[np.ndarray | None] = [None] * len(own)
                 for j in range(self.steps):
@@ -152,7 +158,7 @@ class Search:
                         count = right - left
                         if count.any():
                             which = np.repeat(left, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                            found.append(np.stack([np.repeat(some, count) * STRIDE + lo, members[which]]))
+                            found.append(np.stack([np.repeat(some, count) * self.stride + lo, members[which]]))
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         both = np.unique(np.concatenate(found, axis=1), axis=1)
@@ -215,17 +221,20 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def searches(benchmark: DataFrame, max_edit: float) -> list[Search]:
-    """The items, read to the driver and cut into passes of PASS_WORDS words."""
+    """The items, read to the driver: short and other ones, in passes of PASS_WORDS words."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator()
-    found, items, held = [], [], 0
+    found, kinds = [], {True: ([], 0), False: ([], 0)}
     for item, text in rows:
         padded, _, _ = words_of(pa.array([text], pa.large_string()))
+        short = len(padded) - 1 < SHORT
+        items, held = kinds[short]
         items.append((item, padded[:-1]))
         held += len(padded)
         if held > PASS_WORDS:
             found.append(Search(items, max_edit))
             items, held = [], 0
-    return [*found, *([Search(items, max_edit)] if items else [])]
+        kinds[short] = items, held
+    return [s for s in [*found, *(Search(items, max_edit) for items, _ in kinds.values())] if s.items]
 
 
 def _report(search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
