@@ -33,7 +33,7 @@ MAX_LABELLED = 10_000
 BITS = 18
 #: Least grade that counts as good, and its tail probability from which a document is selected.
 TAIL_GRADE, MIN_TAIL = 1, 0.5
-EPOCHS, RATE, RIDGE = 120, 0.05, 1e-5
+EPOCHS, RATE, RIDGE = 200, 0.1, 1e-5
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = ord("a")

@@ -1,7 +1,7 @@
 """Token counts: unigram scores over a trie of distinct pre-tokens.
 
 A pre-token is a maximal run without white space, with the word mark in front. Its tokens are the
-segmentation into vocabulary pieces of the highest sum of scores. The distinct pre-tokens of a
+segmentation into vocabulary pieces of the highest sum of log probabilities. The distinct pre-tokens of a
 batch are inserted into a trie; a node holds the best (forward) score and token count of the prefix
 that it ends, computed once from those of its ancestors, so what pre-tokens share is scored once.
 Terminal counts stay with the Python worker over batches and tasks, up to MAX_HELD; forgetting them changes
@@ -18,6 +18,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +45,23 @@ class Vocabulary:
 _loaded: dict = {}
 
 
+def log_probabilities(scores: dict[str, float]) -> dict[str, float]:
+    """Scores as they are if they are log probabilities. Whole numbers are merge ranks: they become log probabilities
+    by Zipf's law, 1 / rank, since sums of ranks would prefer many frequent pieces to the word itself."""
+    if not all(float(s).is_integer() for s in scores.values()):
+        return scores
+    order = sorted(scores, key=lambda piece: (-scores[piece], piece))
+    total = math.log(sum(1 / r for r in range(1, len(order) + 1))) if order else 0.0
+    return {piece: -math.log(r) - total for r, piece in enumerate(order, 1)}
+
+
 def load(model_file: str) -> Vocabulary:
-    """The ordinary pieces and scores of a sentencepiece model file."""
+    """The ordinary pieces of a sentencepiece model file and their log probabilities."""
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = range(p.get_piece_size())
-    plain = {p.id_to_piece(i): p.get_score(i) for i in ids if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))}
+    plain = log_probabilities({p.id_to_piece(i): p.get_score(i) for i in ids if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))})
     return Vocabulary(plain, min(plain.values(), default=0.0), any(p.is_byte(i) for i in ids))
 
 
