@@ -89,7 +89,7 @@ class Library:
             raise LookupError("no such video in the library")
         return row[0]
 
-    def search(self, video: str, query: str | list[float], k: int = 32, source: str | list[str] | None = None, strategy: str = "segment_adaptive", merge_gap_s: float = 10.0, seed: int = 0) -> Results:
+    def search(self, video: str, query: str | list[float], k: int = 32, source: str | list[str] | None = None, strategy: str = "segment_adaptive", seed: int = 0, gap_s: float = 10.0) -> Results:
         """The best moments of a video over its sources, merged by rank and nearness."""
         if k < 1:
             raise ValueError("k must be at least 1")
@@ -107,7 +107,7 @@ class Library:
         union = lists[0]
         for other in lists[1:]:
             union = union.unionByName(other)
-        merged = me.merge(me.ranked_list(union, k), k, merge_gap_s)
+        merged = me.merge(me.ranked_list(union, k), k, gap_s)
         return Results(merged.withColumn("timecode", timecode("time")), str(query), k, strategy, False)
 
     def search_all(self, query: str | list[float], k: int = 20, video: str | None = None, min_gap_s: float = 30.0, per_video: int | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 KEYS = ("video", "query_id")
 
 
-def events_from_scores(scores: DataFrame, threshold: float = 0.0, merge_gap_s: float = 3.0, min_frames: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """scores(keys, ts, score) -> runs of positives merged over gaps up to merge_gap_s (inclusive): t_start, t_end, n_frames, peak."""
+def events_from_scores(scores: DataFrame, threshold: float = 0.0, gap_s: float = 3.0, min_frames: int = 1, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """scores(keys, ts, score) -> runs of positives merged over gaps up to gap_s (inclusive): t_start, t_end, n_frames, peak."""
     w = Window.partitionBy(*keys).orderBy("ts")
-    new = F.when(F.col("ts") - F.lag("ts").over(w) <= merge_gap_s, 0).otherwise(1)
+    new = F.when(F.col("ts") - F.lag("ts").over(w) <= gap_s, 0).otherwise(1)
     runs = scores.where(F.col("score") > threshold).withColumn("__new", new).withColumn("event", F.sum("__new").over(w))
     g = runs.groupBy(*keys, "event").agg(F.min("ts").alias("t_start"), F.max("ts").alias("t_end"), F.count("*").alias("n_frames"), F.max("score").alias("peak"))
     return g.where(F.col("n_frames") >= min_frames)
@@ -69,7 +69,7 @@ def backward(wanted: DataFrame, table: DataFrame, keys: tuple[str, ...], column:
     return both.withColumn(column, last).where("side = 1").select("w.*", column)
 
 
-def evaluate_selection(truth: DataFrame, selected: DataFrame, threshold: float = 0.0, merge_gap_s: float = 3.0, max_snap_s: float = 1.5, keys: tuple[str, ...] = KEYS, tol_s: float = 0.0) -> DataFrame:
+def evaluate_selection(truth: DataFrame, selected: DataFrame, threshold: float = 0.0, gap_s: float = 3.0, max_snap_s: float = 1.5, keys: tuple[str, ...] = KEYS, tol_s: float = 0.0) -> DataFrame:
     """keys, n_selected, n_confirmed, precision, event_recall, frame_recall of selected(keys, ts) against truth(keys, frame_idx, ts, score).
 
     A selected time snaps to the nearest truth row; it is an error if that is farther than max_snap_s. Recalls are null
@@ -81,7 +81,7 @@ def evaluate_selection(truth: DataFrame, selected: DataFrame, threshold: float =
     near = near.withColumn("ok", F.when(far | F.col("near_ts").isNull(), error).otherwise(F.col("near_score") > threshold))
     counts = near.groupBy(*keys).agg(F.count("*").alias("n_selected"), F.count_if("ok").alias("n_confirmed"), F.avg(F.col("ok").cast("double")).alias("precision"))
     hits = near.where("ok").select(*keys, F.col("near_ts").alias("ts"), F.col("near_frame_idx").alias("frame_idx"))
-    events = events_from_scores(truth, threshold, merge_gap_s, 1, keys)
+    events = events_from_scores(truth, threshold, gap_s, 1, keys)
     positives = truth.where(F.col("score") > threshold).select(*keys, "frame_idx")
     out = counts.join(event_recall(events, hits, tol_s, keys).drop("n_events"), list(keys), "left")
     return out.join(frame_recall(positives, hits, keys), list(keys), "left")

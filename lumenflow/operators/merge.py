@@ -31,7 +31,8 @@ def lines_text(lines: str, min_conf: float, min_chars: int):
 def resolve_sources(source: str | list[str] | None, available: list[str]) -> list[str]:
     """The sources to search: all for None; an error names what is unknown or missing."""
     known = ("visual", "speech", "text")
-    wanted = list(available) if source is None else [source] if isinstance(source, str) else list(source)
+    asked = available if source is None else source
+    wanted = [asked] if isinstance(asked, str) else [*asked]
     for s in wanted:
         if s not in known:
             raise ValueError(f"unknown source {s!r}; have {known}")

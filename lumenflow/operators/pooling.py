@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import bound, power_mean, topk_mean
 
 EMPTY = -1e9
-GRID = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32)
+GRID = tuple(sorted({2**i for i in range(6)} | {3 * 2**i for i in range(4)}))
 
 
 def chunked(frames: DataFrame, width: float, n_chunks: Column | str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import frames as fr
 
-STRATEGIES = ("uniform", "topk", "nms", "segment", "segment_adaptive")
+STRATEGIES = ("segment_adaptive", "segment", "topk", "nms", "uniform")
 SEGMENT_FACTOR = 8.0
 KEYS = ("query_id", "video")
 

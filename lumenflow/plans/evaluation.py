@@ -133,7 +133,7 @@ def shard_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.deduplicated_times(union, ("video",), 1e-3).groupBy("video").agg(F.count("*").alias("n"))
 
 
-# -- ranked chunks: orders are queries, their lines ranked chunks, early lines the truth ------------------------
+# ranked chunks: orders are queries, their lines ranked chunks, early lines the truth
 
 CHUNKED = """ln AS (SELECT l_orderkey AS query_id, l_linenumber, l_extendedprice AS score, l_quantity, (l_linenumber - 1) * 10.0 AS t_start, l_linenumber * 10.0 AS t_end FROM lineitem),
     rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, l_linenumber, l_quantity) AS rn FROM ln),

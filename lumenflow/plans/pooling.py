@@ -126,7 +126,7 @@ def chunk_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where("n >= 3").drop("n")
 
 
-# -- ragged score lists: the line prices of orders -------------------------------------------------------------
+# ragged score lists: the line prices of orders
 
 LISTS = "ls AS (SELECT l_orderkey, list(l_extendedprice ORDER BY l_extendedprice) AS v FROM lineitem GROUP BY l_orderkey)"
 
