@@ -37,9 +37,9 @@ from . import kernels as K
 from .common import batch, cut, lean, with_ids, without_ids
 
 N = 3
-THRESHOLD = 0.6
+THRESHOLD = 0.5
 RECALL = 0.95
-MAX_HASHES = 64
+MAX_HASHES = 96
 SEED = 8
 #: A block of more pairs than a clique of so many documents has is cut into tiles.
 TILE_DOCS = 512

@@ -57,7 +57,7 @@ def test_stages_on_planted_cases(spark, tmp_path):
     assert ids[1] == ids[0] - set(copies)
     assert ids[2] == ids[1] - leaks
     text = {r[0]: grams(r[1]) for r in rows}
-    assert all(jaccard(text[k], text[b]) > 0.6 for k, b in copies.items())
+    assert all(jaccard(text[k], text[b]) > 0.5 for k, b in copies.items())
     assert {r["doc_id"] for r in C.run(spark, str(tmp_path)).collect()} == ids[4]
 
 
