@@ -42,7 +42,7 @@ MAX_LABELLED = 10_000
 MIN_SHARE = 0.001
 MIN_DOCS = 3
 WINDOW = 5
-MIN_Z = 4.0
+MIN_Z = 2.7
 MIN_ODDS = 8.0
 NEUTRAL_SHARE = 0.02
 #: Documents of the sample count as copies if they share one of so many bands of so many minima of word pairs.
