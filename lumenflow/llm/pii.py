@@ -55,6 +55,7 @@ def characters() -> dict[int, str]:
 
 _W = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_W})|\d)(?:[\s.-]{{1,3}}(?:(?:{_W})(?![^\W_])|\d))+", re.I)
+_FOLDED = str.maketrans("İıſ", "iis")  # what re.I takes for i and s, lower() doesn't
 _DIGIT_WORD = re.compile(rf"(?<![^\W\d_])({_W})(?![^\W\d_])", re.I)
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
 _AT = re.compile(r"(?<![^\W_])([\w.+%-]+)\s+(at)\s+((?:[\w-]+\s*(?:\.|\s+dot\s+)\s*)+[a-z]{2,})(?![^\W_])", re.I)
@@ -68,10 +69,13 @@ KINDS = {
     "ssn": re.compile(r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])", re.A),
     "phone": re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{10,11})(?![\w]|-\d)", re.A),
 }
+#: Python's white space, of which RE2's \s has the ASCII part only, and the spelled digits as re.I reads them.
+_S = "".join(f"\\x{{{c:x}}}" for c in range(0x3001) if chr(c).isspace())
+_ANY = "|".join(DIGIT_WORDS).replace("i", "[iİı]").replace("s", "[sſ]")
 #: What every identifier has, disguised or not, for RE2 on whole texts.
 TRIGGER = (
-    r"(?i)@|[+(]\s*\d|\d[\s().-]{0,3}\d[\s().-]{0,3}\d[\s().-]{0,3}\d|\d\s*\.\s*\d|[\[({<]\s*(at|dot)\s*[\])}>]|\bdot\b"
-    rf"|\b({_W})[\s.-]{{1,3}}({_W}|\d)|\d[\s.-]{{1,3}}({_W})\b"
+    rf"(?i)@|[+(][{_S}]*\d|\d[{_S}().-]{{0,3}}\d[{_S}().-]{{0,3}}\d[{_S}().-]{{0,3}}\d|\d[{_S}]*\.[{_S}]*\d|[\[({{<][{_S}]*(at|dot|\.)[{_S}]*[\])}}>]|\bdot\b"
+    rf"|({_ANY})[{_S}.-]{{1,3}}({_ANY}|\p{{Nd}})|\p{{Nd}}[{_S}.-]{{1,3}}({_ANY})|[{_S}]at[{_S}]+[a-z0-9-]+\.[a-z0-9]"
 )
 
 
@@ -143,7 +147,7 @@ def normalise(source: str) -> Text:
             # the gap between two spelled digits, or to a digit, goes with it
             if k + 1 < len(words) and not any(c.isalnum() for c in text.now[end : at + words[k + 1].start()]):
                 end = at + words[k + 1].start()
-            spelled.append((start, end, DIGIT_WORDS[w.group().lower()]))
+            spelled.append((start, end, DIGIT_WORDS[w.group().translate(_FOLDED).lower()]))
     text.rewrite(spelled)
     sign = {"at": "@", "@": "@", "dot": ".", ".": "."}
     text.rewrite([(m.start(), m.end(), sign[m.group(1).lower()]) for m in _BRACKETED.finditer(text.now)])
@@ -154,16 +158,26 @@ def normalise(source: str) -> Text:
             if "." in host:
                 edits.append((m.end(1), m.start(3), "@"))
         text.rewrite(edits)
-    text.rewrite([(m.start(), m.end(), ".") for m in _DOT.finditer(text.now) if _dot_joins(text.now, m)])
+    text.rewrite(_dots(text.now))
     return text
 
 
-def _dot_joins(text: str, m: re.Match) -> bool:
-    """Is this ' dot ' within an address: digits on either side, or an '@' in the word that it continues?"""
-    if text[m.start() - 1].isdigit() and text[m.end()].isdigit():
-        return True
-    before = re.search(r"\S+(?:\s+dot\s+\S+)*$", text[max(0, m.start() - 200) : m.start()], re.I)
-    return bool(before and "@" in before.group()) or bool(re.match(r"[\w-]+(?:\s+dot\s+[\w-]+)*@", text[m.end() : m.end() + 200], re.I))
+def _dots(text: str) -> list[tuple[int, int, str]]:
+    """The ' dot 's within an address: digits on either side, or an '@' in the words that it and other 'dot's join."""
+    found = list(_DOT.finditer(text))
+    before, after = set(), set()  # ends of words that continue one with an '@', starts of words that lead to one
+    if found and "@" in text:
+        words = list(re.finditer(r"\S+", text))
+        joins = [w.group().lower() == "dot" for w in words]
+        for k, w in enumerate(words):
+            if "@" in w.group() or (k > 1 and joins[k - 1] and words[k - 2].end() in before):
+                before.add(w.end())
+        for k in range(len(words) - 1, -1, -1):
+            w = words[k]
+            name = re.match(r"[\w-]+", w.group())
+            if name and (w.group()[name.end() :][:1] == "@" or (name.end() == len(w.group()) and k + 2 < len(words) and joins[k + 1] and words[k + 2].start() in after)):
+                after.add(w.start())
+    return [(m.start(), m.end(), ".") for m in found if (text[m.start() - 1].isdigit() and text[m.end()].isdigit()) or m.start() in before or m.end() in after]
 
 
 def luhn(digits: str) -> bool:

@@ -65,3 +65,23 @@ def test_edge_cases(spark, messy, nothing):
     rows = [(None, "x@y.com"), (1, "x@y.com"), (1, "x@y.com"), (2, None), (3, "a " * 100_000 + "z@y.com 1.2.3.4")]
     got = sorted((r["doc_id"] or 0, r["kind"], r["start"], r["found"]) for r in P.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(0, "email", 0, "x@y.com"), (1, "email", 0, "x@y.com"), (1, "email", 0, "x@y.com"), (3, "email", 200_000, "z@y.com"), (3, "ip", 200_008, "1.2.3.4")]
+
+
+ALONE = [
+    ("write to jane.doe at example.com today", "jane.doe@example.com"),
+    ("write to jane.doe\u00a0at\u2003example.com today", "jane.doe@example.com"),
+    ("host 8[.]8[.]8[.]8 is up", "8.8.8.8"),
+    ("host 8 (.) 8 (.) 8 (.) 8 is up", "8.8.8.8"),
+    ("jane [\u00a0at\u00a0] example.com", "jane@example.com"),
+    ("call " + "\u00a0".join("five five five one two three four five six seven".split()), "5551234567"),
+    ("call \u017feven \u017fix five one two three four five six seven", "7651234567"),
+    ("jane@" + " dot ".join(["a" * 60] * 5 + ["com"]), "jane@" + ".".join(["a" * 60] * 5 + ["com"])),
+    (" dot ".join(["b" * 60] * 5) + "@mail.com", ".".join(["b" * 60] * 5) + "@mail.com"),
+]
+
+
+def test_each_disguise_in_a_text_of_its_own(spark):
+    """Nothing else in the text has the trigger, and no address is too long for it."""
+    texts = [t for t, _ in ALONE] + [c[0] for c in CASES]
+    got = P.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["value"]) for r in got) == sorted(enumerate([v for _, v in ALONE] + [c[3] for c in CASES]))
