@@ -5,8 +5,12 @@ to the uniform distribution with Witten-Bell weights. A URL's score is the mean
 log probabilities; the cut is calibrated on URLs held out of the training: the score that parts them best (Youden's J), at
 equal merit the one that keeps more.
 
-Training URLs are labelled by REJECTED, terms in the host that a list rejects; at most MAX_TRAIN of each
-class, those of the least hashes, one in HOLD_OUT of them held out. Every URL of the table is scored.
+Training URLs are labelled by REJECTED, terms in the host that a list rejects; all distinct URLs of the table count,
+one in HOLD_OUT of them, by hash, held out for the cut. Every URL of the table is scored.
+
+A character's probability depends on the gram of it and the ORDER characters before it alone, and the counts of all orders
+are sums of those of grams. So grams are counted by aggregation, each distinct gram is valued once (lower orders meet
+higher ones by joins), and URLs add up the values of their grams: broadcast up to BROADCAST_GRAMS, joined by shuffle beyond.
 
 Defined results
 ---------------
@@ -24,18 +28,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut, lean
+from .common import batch, checked, cut, lean
 
 REJECTED = ("casino", "bets", "pills", "ads-track", "poker", "viagra", "xxx", "porn", "lottery", "payday")
 ORDER = 5
-MAX_TRAIN = 20_000
 HOLD_OUT = 5
 ALPHABET = 257  # bytes and the end
+BITS = 9  # of a character in a gram: 54 for ORDER + 1
+BROADCAST_GRAMS = 1_000_000
+#: Grams that a task gathers before it merges them.
+MERGE_GRAMS = 2_000_000
+#: Ranges of scores for the prefix sums of the calibration.
+RANGES = 4096
 
 
 def contexts(data: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
@@ -62,7 +70,7 @@ def layout(urls: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarra
 
 
 class Markov:
-    """Counts by order: of contexts, of their distinct successors, and of context and successor."""
+    """Counts by order, in memory: of contexts, of their distinct successors, and of context and successor."""
 
     def __init__(self, urls: list[bytes], order: int = ORDER):
         self.order = order
@@ -92,6 +100,8 @@ class Markov:
 
 @dataclass
 class Filter:
+    """Two models in memory, for lists of URLs."""
+
     accepted: Markov
     rejected: Markov
     cut: float
@@ -118,45 +128,170 @@ def _clean(url) -> F.Column:
     return F.lower(F.trim(url.cast("string")))
 
 
-def train(pages: DataFrame, rejected: tuple[str, ...] = REJECTED, max_train: int = MAX_TRAIN) -> Filter | None:
+def grams(urls: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """Each position's gram, its own character in the lowest bits; the URL of each."""
+    data, at, of = layout(urls, order)
+    gram = np.zeros(len(at), np.int64)
+    for back in range(order + 1):
+        gram |= data[at - back] << (BITS * back)
+    return gram, of
+
+
+GRAMS = pa.schema([("gram", pa.int64()), ("good", pa.int64()), ("bad", pa.int64())])
+
+
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grams of rows (url, good, bad), as far as this task sees; good and bad are what each of the URL's grams counts."""
+    held, size = [], 0
+
+    def merged() -> tuple[np.ndarray, ...]:
+        gram, good, bad = (np.concatenate(x) for x in zip(*held))
+        u, inverse = np.unique(gram, return_inverse=True)
+        return u, *(np.bincount(inverse, n, len(u)).astype(np.int64) for n in (good, bad))
+
+    for b in batches:
+        for lo in range(0, b.num_rows, 4096):
+            part = b.slice(lo, 4096)
+            gram, of = grams([u.encode() for u in part.column(0).to_pylist()])
+            held.append((gram, *(part.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[of] for k in (1, 2))))
+            size += len(gram)
+            if size > MERGE_GRAMS:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > MERGE_GRAMS // 2:
+                    yield batch(GRAMS, *held[0])
+                    held, size = [], 0
+    if held:
+        yield batch(GRAMS, *merged())
+
+
+def gram_counts(urls: DataFrame) -> DataFrame:
+    """gram, good, bad of rows (url, good, bad)."""
+    part = urls.select("url", "good", "bad").mapInArrow(lean(_gram_counts), "gram long, good long, bad long")
+    return part.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def values(counts: DataFrame) -> DataFrame:
+    """gram, value: the difference of log probabilities of each gram of counts(gram, good, bad), those that count 0 included."""
+    levels = [counts.select("gram", "good", "bad")]
+    for k in range(ORDER, 0, -1):
+        lower = F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1))
+        levels.append(cut(levels[-1].groupBy(lower.alias("gram")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))))
+    found = None
+    for k, level in enumerate(reversed(levels)):
+        of = Window.partitionBy(F.shiftright("gram", BITS))  # a context's successors: ALPHABET at most
+        level = level.withColumns({f"{c}_{what}": f.over(of) for c in ("good", "bad") for what, f in (("all", F.sum(c)), ("kinds", F.sum((F.col(c) > 0).cast("long"))))})
+        if found is None:
+            level = level.withColumns({f"{c}_p": F.lit(1 / ALPHABET) for c in ("good", "bad")})
+        else:
+            below = cut(found.select(F.col("gram").alias("lower"), "good_p", "bad_p"))
+            level = level.join(checked(below), F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)) == F.col("lower"))
+        found = level.select("gram", *[F.when(F.col(f"{c}_all") > 0, (F.col(c) + F.col(f"{c}_kinds") * F.col(f"{c}_p")) / (F.col(f"{c}_all") + F.col(f"{c}_kinds"))).otherwise(F.col(f"{c}_p")).alias(f"{c}_p") for c in ("good", "bad")])
+    return cut(found.select("gram", (F.log("good_p") - F.log("bad_p")).alias("value")))
+
+
+def _means(urls: list[bytes], gram: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Mean value of each URL's grams, all of which are in `gram` (ascending)."""
+    if not urls:
+        return np.zeros(0)
+    g, of = grams(urls)
+    return np.bincount(of, value[np.searchsorted(gram, g)], len(urls)) / np.bincount(of, minlength=len(urls))
+
+
+def url_scores(urls: DataFrame, found: DataFrame) -> DataFrame:
+    """url, score of the distinct, checkpointed `urls`, from the values `found` of their grams."""
+    if found.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        table = found.orderBy("gram").toPandas()
+        held = urls.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), table["value"].to_numpy(np.float64)))
+        schema = pa.schema([("url", pa.string()), ("score", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for lo in range(0, b.num_rows, 4096):
+                    url = b.column(0).slice(lo, 4096).cast(pa.string())
+                    yield batch(schema, url, _means([u.encode() for u in url.to_pylist()], *held.value))
+
+        return urls.select("url").mapInArrow(lean(run), "url string, score double")
+    schema = pa.schema([("id", pa.int64()), ("gram", pa.int64())])
+
+    def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                g, of = grams([u.encode() for u in part.column(1).to_pylist()])
+                yield batch(schema, part.column(0).to_numpy()[of], g)
+
+    named = cut(urls.select(F.monotonically_increasing_id().alias("id"), "url"))
+    sums = named.mapInArrow(lean(positions), "id long, gram long").join(found, "gram").groupBy("id").agg(F.avg("value").alias("score"))
+    return named.join(sums, "id").select("url", "score")
+
+
+@dataclass
+class Model:
+    """counts: gram, good, bad of the training URLs, checkpointed; cut: the score from which a URL is accepted."""
+
+    counts: DataFrame
+    cut: float
+
+    def of(self, urls: DataFrame) -> DataFrame:
+        """url, score of distinct, checkpointed `urls`, none blank."""
+        asked = gram_counts(urls.select("url", F.lit(0).cast("long").alias("good"), F.lit(0).cast("long").alias("bad")))
+        return url_scores(urls, values(cut(self.counts.union(asked).groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")))))
+
+    def scores(self, urls: list[bytes]) -> np.ndarray:
+        if not urls:
+            return np.zeros(0)
+        texts = [u.decode() for u in urls]
+        rows = self.counts.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(texts)], "url string")
+        found = {r["url"]: r["score"] for r in self.of(cut(rows)).collect()}
+        return np.array([found[t] for t in texts])
+
+
+def best_cut(scored: DataFrame) -> float:
+    """calibrated() of rows (bad, score): prefix sums within RANGES ranges of scores, and over them."""
+    s = cut(scored.groupBy("score").agg(F.sum((~F.col("bad")).cast("long")).alias("good"), F.sum(F.col("bad").cast("long")).alias("bad")))
+    low, high = s.agg(F.min("score"), F.max("score")).first()
+    s = s.withColumn("range", F.least(F.floor((F.col("score") - low) / max(high - low, 1e-300) * RANGES), F.lit(RANGES)).cast("int"))
+    ranges = s.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("score").alias("last")).orderBy("range").collect()  # RANGES + 1 rows at most
+    before, good, bad, last = [], 0, 0, None
+    for r in ranges:
+        before.append((r["range"], good, bad, last))
+        good, bad, last = good + r["good"], bad + r["bad"], r["last"]
+    offsets = F.broadcast(s.sparkSession.createDataFrame(before, "range int, good_before long, bad_before long, last double"))
+    w = Window.partitionBy("range").orderBy("score")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    less = lambda c: (F.sum(c).over(so_far) - F.col(c) + F.col(f"{c}_before")) / F.lit(float({"good": good, "bad": bad}[c]))
+    each = s.join(offsets, "range").select("score", ((1 - less("good")) - (1 - less("bad"))).alias("merit"), F.coalesce(F.lag("score").over(w), "last").alias("previous"))
+    best = each.orderBy(F.desc("merit"), "score").limit(1).first()
+    return best["score"] - 1e-9 if best["previous"] is None else (best["score"] + best["previous"]) / 2
+
+
+def train(pages: DataFrame, rejected: tuple[str, ...] = REJECTED) -> Model | None:
     """The filter of this table, or None without examples of both classes."""
     host = F.regexp_extract("url", r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
     bad = F.lit(False)
     for term in rejected:
         bad = bad | host.contains(term)
-    urls = pages.select(_clean(F.col("url")).alias("url")).where("url <> ''").distinct().withColumn("bad", bad).withColumn("h", F.xxhash64("url"))
-    urls = cut(urls)
-    classes = []
-    for is_bad in (False, True):
-        rows = urls.where(F.col("bad") == is_bad).orderBy("h", "url").limit(max_train).select("url", F.pmod("h", F.lit(HOLD_OUT)).alias("fold")).collect()  # max_train rows at most
-        trained = [r["url"].encode() for r in rows if r["fold"]] or [r["url"].encode() for r in rows]
-        held = [r["url"].encode() for r in rows if not r["fold"]] or trained
-        classes.append((trained, held))
-    if not classes[0][0] or not classes[1][0]:
+    urls = pages.select(_clean(F.col("url")).alias("url")).where("url <> ''").distinct()
+    urls = cut(urls.withColumn("bad", bad).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD_OUT)) == 0))
+    sizes = {(r["bad"], r["held"]): r["count"] for r in urls.groupBy("bad", "held").count().collect()}
+    if {b for b, _ in sizes} != {False, True}:
         return None
-    found = Filter(Markov(classes[0][0]), Markov(classes[1][0]), 0.0)
-    found.cut = calibrated(found.scores(classes[0][1]), found.scores(classes[1][1]))
-    return found
+    # a class with no URL on one of the sides has all of its URLs on both
+    whole = [b for b in (False, True) if len([1 for x, _ in sizes if x == b]) < 2]
+    both = F.col("bad").isin(whole) if whole else F.lit(False)
+    trained = urls.where(~F.col("held") | both).select("url", (~F.col("bad")).cast("long").alias("good"), F.col("bad").cast("long").alias("bad"))
+    model = Model(cut(gram_counts(trained)), 0.0)
+    held = cut(urls.where(F.col("held") | both))
+    model.cut = best_cut(model.of(held).join(held, "url").select("bad", "score"))
+    return model
 
 
-def score(pages: DataFrame, model: Filter | None) -> DataFrame:
+def score(pages: DataFrame, model: Model | None) -> DataFrame:
     """page_id, url, score, accepted of every row."""
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])
-    held = pages.sparkSession.sparkContext.broadcast(model)  # of 2 * max_train URLs, whatever the table
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                url = pc.fill_null(part.column(2).cast(pa.string()), "")
-                some = np.flatnonzero(pc.greater(pc.binary_length(url), 0).to_numpy(zero_copy_only=False))
-                accepted, scores = np.zeros(part.num_rows, bool), np.zeros(part.num_rows)
-                accepted[some] = True
-                if held.value is not None:
-                    scores[some] = held.value.scores([u.encode() for u in url.take(pa.array(some)).to_pylist()])
-                    accepted[some] = scores[some] >= held.value.cut
-                missing = np.ones(part.num_rows, bool)
-                missing[some] = held.value is None
-                yield batch(schema, part.column(0), part.column(1).cast(pa.string()), pa.array(scores, mask=missing), accepted)
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _clean(F.col("url")).alias("clean")).mapInArrow(lean(run), "page_id long, url string, score double, accepted boolean")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _clean(F.col("url")).alias("clean"))
+    if model is None:
+        return rows.select("page_id", "url", F.lit(None).cast("double").alias("score"), F.coalesce(F.col("clean") != "", F.lit(False)).alias("accepted"))
+    found = model.of(cut(rows.where("clean <> ''").select(F.col("clean").alias("url")).distinct()))
+    scored = rows.join(found.withColumnRenamed("url", "known"), F.col("clean") == F.col("known"), "left")
+    return scored.select("page_id", "url", "score", F.coalesce(F.col("score") >= model.cut, F.lit(False)).alias("accepted"))

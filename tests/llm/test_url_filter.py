@@ -72,3 +72,23 @@ def test_edge_cases(spark):
     one = pages.where("page_id = 4")
     assert U.train(one) is None and U.score(one, None).where("accepted").count() == 2
     assert U.train(pages.limit(0)) is None and U.score(pages.limit(0), model).count() == 0
+
+
+def test_all_urls_count(spark, monkeypatch):
+    """More URLs than were once counted, against both models in memory over all of them; the scores joined instead of broadcast."""
+    good, bad = urls(24_000)
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(good + bad)], "page_id long, url string")
+    side = {r["url"]: r["held"] for r in rows.selectExpr("url", f"pmod(xxhash64(url), {U.HOLD_OUT}) = 0 AS held").collect()}
+    trained, held = ([sorted(u.encode() for u in set(c) if side[u] == h) for c in (good, bad)] for h in (False, True))
+    assert len(trained[0]) + len(held[0]) > 20_000
+    want = U.Filter(U.Markov(trained[0]), U.Markov(trained[1]), 0.0)
+    model = U.train(rows)
+    tests = [u.encode() for u in [*urls(50, 5)[0], *urls(50, 5)[1], "never seen \u00a7"]]
+    assert np.allclose(model.scores(tests), want.scores(tests), atol=1e-9)
+    assert np.isclose(model.cut, U.calibrated(want.scores(held[0]), want.scores(held[1])), atol=1e-9)
+    few = rows.limit(300)
+    broadcast = sorted(U.score(few, model).collect())
+    monkeypatch.setattr(U, "BROADCAST_GRAMS", 0)
+    joined = sorted(U.score(few, model).collect())
+    assert [r[:2] + r[3:] for r in broadcast] == [r[:2] + r[3:] for r in joined]
+    assert np.allclose([r["score"] for r in broadcast], [r["score"] for r in joined], atol=1e-9)
