@@ -1,11 +1,11 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant.
 
 Each document becomes a vector of transformed statistics (NAMES). For each language and source, the minimum-
-covariance-determinant estimate of location and scatter is found by concentration steps from a
-coordinate-wise robust start; documents beyond the chi-square cutoff of the Mahalanobis distance are rejected.
+covariance-determinant estimate of location and scatter is found by concentration steps from several starts
+(coordinate-wise robust, classical, small samples), the least determinant of them taken on to convergence; documents beyond the chi-square cutoff of the Mahalanobis distance are rejected.
 
 Shares are shrunk to the corpus's own by a prior of PRIOR_CHARS or PRIOR_WORDS, so that short texts aren't outliers
-by chance, and variances get the floor FLOOR, so that a rare digit isn't one. A step is an aggregation of
+by chance. FLOOR only bounds the scatter's eigenvalues from below, for groups (nearly) without spread. A step is an aggregation of
 moments by group over the vectors: no task holds a group, and hot sources don't matter. Groups of fewer than MIN_GROUP
 documents use their language's estimate, such languages the corpus's.
 
@@ -20,12 +20,13 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -33,10 +34,14 @@ from .common import batch, checked, cut, lean
 
 NAMES = ("word_length", "upper", "digit", "sign", "repeated", "distinct")
 PRIOR_CHARS, PRIOR_WORDS = 300.0, 60.0
-FLOOR = (0.10, 0.06, 0.06, 0.06, 0.08, 0.10)
+#: Least standard deviations.
+FLOOR = (0.005,) * 6
 MIN_GROUP = 60
 COVERAGE = 0.75
-STEPS = 4
+#: Small samples to start from, beside the robust and the classical start; their rows.
+SAMPLES, SAMPLE_ROWS = 2, 14
+#: Steps of every start; of the best one at most, ended when no group's log determinant falls by TOLERANCE.
+STEPS, MOST_STEPS, TOLERANCE = 2, 20, 1e-3
 CUTOFF = 0.9999
 
 _COUNTS = pa.schema([(c, pa.int64()) for c in ("chars", "words", "upper", "digit", "sign", "repeated", "distinct")])
@@ -110,8 +115,8 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _fitted(moments: DataFrame, coverage: float) -> DataFrame:
-    """key, mean, inverse of each group's moments; scatter made consistent for the share `coverage` of nearest rows."""
-    k, floor = len(NAMES), np.diag(np.square(FLOOR))
+    """key, mean, inverse, logdet of each group's moments; scatter made consistent for the share `coverage` of nearest rows."""
+    k, floor = len(NAMES), np.array(FLOOR)
     # E of the truncated chi-square: P(chi2_{k+2} <= q) / coverage
     q = chi2(coverage, k) if coverage < 1 else None
     shrink = _below(q, k + 2) / coverage if q else 1.0
@@ -122,13 +127,13 @@ def _fitted(moments: DataFrame, coverage: float) -> DataFrame:
             for r in part.to_dict("records"):
                 mean = np.array([r[f"s{i}"] / r["n"] for i in range(k)])
                 second = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] / r["n"] for j in range(k)] for i in range(k)])
-                scatter = (second - np.outer(mean, mean)) / shrink
+                scatter = (second - np.outer(mean, mean)) / shrink / np.outer(floor, floor)
                 values, vectors = np.linalg.eigh((scatter + scatter.T) / 2)
-                scatter = (vectors * np.maximum(values, 0)) @ vectors.T + floor
-                out.append((r["key"], mean.tolist(), np.linalg.inv(scatter).ravel().tolist()))
-            yield pd.DataFrame(out, columns=["key", "mean", "inverse"])
+                values = np.maximum(values, 1)
+                out.append((r["key"], mean.tolist(), ((vectors / values) @ vectors.T / np.outer(floor, floor)).ravel().tolist(), float(np.log(values).sum())))
+            yield pd.DataFrame(out, columns=["key", "mean", "inverse", "logdet"])
 
-    return cut(moments.mapInPandas(run, "key string, mean array<double>, inverse array<double>"))
+    return cut(moments.mapInPandas(run, "key string, mean array<double>, inverse array<double>, logdet double"))
 
 
 def _below(q: float, k: int) -> float:
@@ -141,17 +146,43 @@ def _started(rows: DataFrame) -> DataFrame:
     k = len(NAMES)
     middle = rows.groupBy("key").agg(F.array(*[F.percentile_approx(F.col("x")[i], 0.5, 1000) for i in range(k)]).alias("mean"))
     off = rows.join(middle, "key").groupBy("key", "mean").agg(*[F.percentile_approx(F.abs(F.col("x")[i] - F.col("mean")[i]), 0.5, 1000).alias(f"d{i}") for i in range(k)])
-    inverse = [1 / (F.pow(1.4826 * F.col(f"d{i}"), F.lit(2)) + FLOOR[i] ** 2) if i == j else F.lit(0.0) for i in range(k) for j in range(k)]
+    inverse = [1 / F.pow(F.greatest(1.4826 * F.col(f"d{i}"), F.lit(FLOOR[i])), F.lit(2)) if i == j else F.lit(0.0) for i in range(k) for j in range(k)]
     return cut(off.select("key", "mean", F.array(*inverse).alias("inverse")))
 
 
+def _step(rows: DataFrame, now: DataFrame, coverage: float) -> DataFrame:
+    """The estimate of the share `coverage` of rows that are nearest by the estimate `now`."""
+    far = rows.join(checked(now), "key").select("key", "x", _distance().alias("d"))
+    edge = far.groupBy("key").agg(F.percentile_approx("d", coverage, 10_000).alias("edge"))
+    return _fitted(_moments(far.join(edge, "key").where("d <= edge")), coverage)
+
+
+def _sampled(rows: DataFrame, seed: int) -> DataFrame:
+    """SAMPLE_ROWS rows of each key, by hash."""
+    w = Window.partitionBy("key").orderBy(F.xxhash64("x", F.lit(seed)))
+    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE_ROWS).drop("place")
+
+
+def _started_all(rows: DataFrame) -> DataFrame:
+    """The starts of each key; a start's number is put before the key."""
+    starts = [_started(rows), _fitted(_moments(rows), 1.0), *(_fitted(_moments(_sampled(rows, seed)), 1.0) for seed in range(SAMPLES))]
+    named = [s.select(F.concat(F.lit(str(k)), "key").alias("key"), "mean", "inverse") for k, s in enumerate(starts)]
+    return cut(reduce(DataFrame.union, named))
+
+
 def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
     """key, mean, inverse by minimum covariance determinant of rows(key, x)."""
-    now = _started(rows)
+    rows = cut(rows)
+    now = _started_all(rows)
+    each = rows.select(F.explode(F.array(*[F.concat(F.lit(str(k)), "key") for k in range(2 + SAMPLES)])).alias("key"), "x")
     for _ in range(steps):
-        far = rows.join(checked(now), "key").select("key", "x", _distance().alias("d"))
-        edge = far.groupBy("key").agg(F.percentile_approx("d", coverage, 10_000).alias("edge"))
-        now = _fitted(_moments(far.join(edge, "key").where("d <= edge")), coverage)
+        now = _step(each, now, coverage)
+    now = cut(now.groupBy(F.expr("substr(key, 2)").alias("key")).agg(F.min_by(F.struct("mean", "inverse", "logdet"), "logdet").alias("best")).select("key", "best.*"))
+    for _ in range(MOST_STEPS):
+        then, now = now, _step(rows, now, coverage)
+        if now.join(then.select("key", F.col("logdet").alias("was")), "key").where(F.col("was") - F.col("logdet") > TOLERANCE).isEmpty():
+            break
+    now = now.drop("logdet")
     # reweighting: the rows within the 97.5 % ellipsoid of the estimate
     near = rows.join(checked(now), "key").where(_distance() <= chi2(0.975, len(NAMES)))
     again = _fitted(_moments(near), 0.975)

@@ -66,3 +66,17 @@ def test_edge_cases(messy, nothing):
     assert got == [(False, 4), (False, 5), (False, 5), (False, 6), (False, 7), (False, 7), (False, 8), (True, 0)]
     assert out.where(F.col("distance").isNull() | F.isnan("distance")).count() == 0
     assert R.judge(nothing).count() == 0
+
+
+def test_the_scatter_decides_not_the_floor(spark):
+    """Outliers of ten deviations where the spread is as small as that of real texts."""
+    r = np.random.default_rng(2)
+    k = len(R.NAMES)
+    sd = np.array([0.03, 0.015, 0.01, 0.02, 0.03, 0.03])
+    clean = r.normal(size=(1000, k)) * sd
+    bad = np.concatenate([clean[:100] * 0.3 + np.eye(k)[i % k] * 10 * sd for i in range(2)])
+    rows = spark.createDataFrame([("g", x.tolist()) for x in np.concatenate([clean, bad])], "key string, x array<double>")
+    est = R.estimates(rows).first()
+    inverse = np.array(est["inverse"]).reshape(k, k)
+    d = lambda x: np.einsum("ij,jk,ik->i", x - est["mean"], inverse, x - est["mean"])
+    assert (d(bad) > R.chi2(R.CUTOFF, k)).all() and (d(clean) <= R.chi2(R.CUTOFF, k)).mean() >= 0.99
