@@ -1,23 +1,28 @@
 """N-gram Jaccard join by MinHash banding.
 
 1. Every document becomes its set of word 3-grams; sets that are equal (128-bit
-   fingerprints) are collapsed to one *representative*, the least doc_id, so copies
+   fingerprints) are one *class of copies* with one representative, so copies
    cost nothing beyond this point, however many there are.
 2. MinHash sketches of the representatives are cut into bands; band and row counts
    follow from the target recall at the threshold. Representatives that share a band
-   hash are candidates: no bucket is capped.
+   hash and whose set sizes allow the threshold are candidates. No bucket is capped, and none is
+   gathered whole: buckets are held in parts of about PART_DOCS representatives, and parts meet by pairs of parts.
 3. Candidates are verified on the full sets. Pairs go to the block of the least
    label (least neighbour) of their two documents, so near copies of one document meet
    in one block and a text travels once for each block, not for each pair. Blocks of
-   very many pairs are cut into tiles by a hash of each side.
+   many documents are cut into tiles by a hash of each side.
+
+`deduplicate` needs only what is connected. It first verifies stars (each member of a bucket with the bucket's
+least one), and then only the candidates whose documents are not yet connected: thousands of near copies of one
+text cost a few stars, not all their pairs, and no candidate is left unverified that could still join two groups.
 
 Defined results
 ---------------
 * Null or blank text: no n-grams, hence no pair, and the document is kept by `deduplicate`.
 * Null doc_id: never paired; kept by `deduplicate`.
 * Texts of fewer than 3 words have one n-gram of all their words.
-* Repeated rows of a doc_id: `jaccard_join` compares each distinct text of the id. For `deduplicate` they
-  are one document, near to whatever one of them is near to; if it stays, so does its row of the least text.
+* Repeated rows of a doc_id are one document, near to whatever one of them is near to; its links are those of the text that
+  has most. If it stays in `deduplicate`, so does its row of the least text (ties: the least of the other columns, maps aside).
 * Empty tables give empty results. Columns besides doc_id and text are ignored, and pass through `deduplicate`.
 """
 
@@ -30,23 +35,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut, lean, with_ids, without_ids
+from .common import batch, checked, cut, lean, with_ids, without_ids
 
 N = 3
 THRESHOLD = 0.5
 RECALL = 0.95
 MAX_HASHES = 96
 SEED = 8
-#: A block of more pairs than a clique of so many documents has is cut into tiles.
+#: Representatives in a part of a band's bucket, about.
+PART_DOCS = 512
+#: A block with more documents than so many on either side of its pairs is cut into tiles.
 TILE_DOCS = 512
+#: Classes of more documents meet their rows by broadcast, so that no task gets all rows of one.
+HOT_DOCS = 50_000
 #: Rows and bytes of text that a worker gathers before it verifies.
 BUFFER_BYTES = 8 << 20
 
-SKETCH = pa.schema([("id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
+SKETCH = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("set_b", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
 
 
@@ -86,40 +95,76 @@ def _sketcher(n: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatc
                 for r in range(rows):
                     band = K.mix(band * K._C[1] + sketch[:, :, r])
                 band = K.mix(band + np.arange(bands, dtype=K.U) * K._C[2])  # the band's number is part of its hash
-                yield batch(SKETCH, ids.slice(at, len(texts)).take(pa.array(some)), set_a.view(np.int64), set_b.view(np.int64), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel())))
+                yield batch(SKETCH, ids.slice(at, len(texts)).take(pa.array(some)), set_a.view(np.int64), set_b.view(np.int64), np.diff(first)[some].astype(np.int32), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * bands, pa.int32()), pa.array(band.view(np.int64).ravel())))
 
     return run
 
 
 def sketches(docs: DataFrame, n: int = N, bands: int | None = None, rows: int | None = None) -> DataFrame:
-    """One checkpointed row for each document with n-grams: id, set fingerprint, band hashes."""
+    """One checkpointed row for each document with n-grams: id, node and set_b (its set's fingerprint), size of the set, band hashes."""
     if bands is None or rows is None:
         bands, rows = choose_bands(THRESHOLD, RECALL)
     narrow = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text")).where("id is not null and text is not null")
-    return cut(narrow.mapInArrow(lean(_sketcher(n, bands, rows)), "id long, set_a long, set_b long, bands array<long>"))
+    return cut(narrow.mapInArrow(lean(_sketcher(n, bands, rows)), "id long, node long, set_b long, size int, bands array<long>"))
 
 
 def equal_sets(sketch: DataFrame) -> DataFrame:
-    """Of each distinct set: node (half of its fingerprint), rep (least id), ids (all, ascending), band hashes."""
-    return sketch.groupBy(F.col("set_a").alias("node"), "set_b").agg(F.min("id").alias("rep"), F.array_sort(F.collect_set("id")).alias("ids"), F.first("bands").alias("bands"))
+    """Of each distinct set: node (half of its fingerprint), rep (least id), docs (rows), size, band hashes. All are partial aggregates."""
+    return sketch.groupBy("node", "set_b").agg(F.min("id").alias("rep"), F.count("*").alias("docs"), F.first("size").alias("size"), F.first("bands").alias("bands")).drop("set_b")
+
+
+def with_hot(rows: DataFrame, side: DataFrame, key: str, count: str = "docs", hot: int = HOT_DOCS) -> DataFrame:
+    """rows joined with `side` (checkpointed; one row for each key, with the count of the key's rows): keys of more than `hot` rows by broadcast."""
+    many = side.where(F.col(count) > hot)
+    if many.isEmpty():
+        return rows.join(side, key)
+    return rows.join(side.where(F.col(count) <= hot), key).unionByName(rows.join(checked(many), key))
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """band, n (its nodes), node, size, group of each node of a band that two nodes or more share. `group`: what is connected already, else the node."""
+    group = F.col("group") if "group" in reps.columns else F.col("node")
+    rows = reps.select("node", "size", group.alias("group"), F.explode("bands").alias("band"))
+    shared = cut(rows.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"), (F.min("group") == F.max("group")).alias("joined")).where("n > 1 and not joined").drop("joined"))
+    return with_hot(rows, shared, "band", "n")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of nodes that share a band hash."""
-    rows = reps.select("node", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.array_sort(F.collect_set("node")).alias("reps")).where("size(reps) > 1")
-    # the pairs of a bucket come one document at a time: no array of all of them is built
-    one = shared.select("reps", F.posexplode("reps").alias("at", "a")).where("at < size(reps) - 1")
-    return one.select("a", F.explode(F.expr("slice(reps, at + 2, size(reps))")).alias("b")).distinct()
+def _possible(a: str, b: str, threshold: float) -> Column:
+    """Sizes of two sets that can reach the threshold."""
+    return F.least(a, b) >= F.greatest(a, b) * (threshold - 1e-9)
+
+
+def stars(reps: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Distinct pairs a < b of the least node of a band and another of it."""
+    size = reps.select(F.col("node").alias("a"), F.col("size").alias("size_a"))
+    pairs = buckets(reps).where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"), "size").distinct()
+    return pairs.join(size, "a").where(_possible("size", "size_a", threshold)).select("a", "b")
+
+
+def candidates(reps: DataFrame, threshold: float = THRESHOLD, part_docs: int = PART_DOCS) -> DataFrame:
+    """Distinct pairs a < b of nodes that share a band hash, of different groups, whose sizes can reach the threshold."""
+    member = buckets(reps).withColumn("parts", F.ceil(F.col("n") / part_docs).cast("int"))
+    member = member.select("band", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.struct("node", "size", "group").alias("m"))
+    held = cut(member.groupBy("band", "part", "parts").agg(F.sort_array(F.collect_list("m")).alias("ms")))  # a part is about part_docs, by hash
+    fits = lambda x: (x["group"] != F.col("m.group")) & (F.least(x["size"], F.col("m.size")) >= F.greatest(x["size"], F.col("m.size")) * (threshold - 1e-9))
+    # the pairs of a part come one document at a time: no array of all of them is built
+    own = held.where("size(ms) > 1").select("ms", F.posexplode("ms").alias("at", "m")).where("at < size(ms) - 1")
+    own = own.select(F.col("m.node").alias("a"), F.explode(F.filter(F.expr("slice(ms, at + 2, size(ms))"), fits)).alias("o"))
+    if held.where("parts > 1").isEmpty():
+        return own.select("a", F.col("o.node").alias("b")).distinct()
+    one, two = (held.where("parts > 1").select("band", F.col("part").alias(f"part{k}"), F.col("ms").alias(f"ms{k}")) for k in (1, 2))
+    across = one.join(two, "band").where("part1 < part2").select(F.explode("ms1").alias("m"), "ms2").select(F.col("m.node").alias("a"), F.explode(F.filter("ms2", fits)).alias("o"))
+    return own.union(across).select(F.least("a", "o.node").alias("a"), F.greatest("a", "o.node").alias("b")).distinct()
 
 
 def blocks(cand: DataFrame, tile_docs: int = TILE_DOCS) -> DataFrame:
-    """a, b, block: pairs by the least label of their two documents; big blocks tiled by a hash of each side."""
+    """a, b, block: pairs by the least label of their two documents; blocks of many documents tiled by a hash of each side."""
     label = cand.select("a", "b").union(cand.select(F.col("b"), F.col("a"))).groupBy("a").agg(F.least(F.min("a"), F.min("b")).alias("label"))
     pairs = cand.join(label.withColumnRenamed("label", "la"), "a").join(label.select(F.col("a").alias("b"), F.col("label").alias("lb")), "b").select("a", "b", F.least("la", "lb").alias("root"))
-    sizes = pairs.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.sqrt(2 * F.col("n")) / tile_docs).cast("int").alias("cuts"))
-    side = lambda c: F.pmod(F.xxhash64(c), F.col("cuts")).cast("int")
-    tiled = pairs.join(sizes, "root").select("a", "b", "root", side("a").alias("x"), side("b").alias("y"))
+    cuts = lambda c: F.ceil(F.approx_count_distinct(c) / tile_docs).cast("int")
+    sizes = cut(pairs.groupBy("root").agg(F.count("*").alias("n"), cuts("a").alias("cuts_a"), cuts("b").alias("cuts_b")))
+    side = lambda c: F.pmod(F.xxhash64(c), F.col(f"cuts_{c}")).cast("int")
+    tiled = with_hot(pairs, sizes, "root", "n", 20 * HOT_DOCS).select("a", "b", "root", side("a").alias("x"), side("b").alias("y"))
     return tiled.select("a", "b", F.xxhash64("root", "x", "y").alias("block"))
 
 
@@ -220,29 +265,49 @@ def verified(docs: DataFrame, reps: DataFrame, cand: DataFrame, n: int = N, thre
     return rows.repartition("block").sortWithinPartitions("block").mapInArrow(lean(_verifier(n, threshold, forest)), "a long, b long, jaccard double")
 
 
+def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, classes of copies, pairs): all pairs a, b, jaccard of nodes of different sets at or above the threshold, found with at least `recall` at it."""
+    sketch = sketches(docs, n, *choose_bands(threshold, recall))
+    reps = cut(equal_sets(sketch))
+    return sketch, reps, cut(verified(docs, reps, cut(candidates(reps, threshold)), n, threshold))
+
+
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """All pairs of documents whose n-gram Jaccard is at least `threshold`, found with at least `recall` at it.
+    """doc_id, class_id, copy_of, copies, links BIGINT: one row for each document that another one is near to or equal to.
 
-    left_ids ARRAY<BIGINT>, right_ids ARRAY<BIGINT>, jaccard DOUBLE: a row stands for every pair of an id of
-    left_ids with another id of right_ids. The ids of a list have equal n-gram sets; a set of several ids also
-    has the row (ids, ids, 1.0).
+    class_id: least doc_id of all documents that are connected with it; copy_of: least doc_id of those with the same
+    n-gram set, of which there are `copies`; links: documents, other than itself, whose n-gram Jaccard with it is at least
+    `threshold`, copies included. Found with at least `recall` at the threshold, all of the copies.
     """
-    reps = cut(equal_sets(sketches(docs, n, *choose_bands(threshold, recall))))
-    found = verified(docs, reps, cut(candidates(reps)), n, threshold)
-    ids = reps.select("node", "rep", "ids")
-    left = ids.toDF("a", "rep_a", "ids_a")
-    right = ids.toDF("b", "rep_b", "ids_b")
-    swap = F.col("rep_a") > F.col("rep_b")
-    pairs = found.join(left, "a").join(right, "b").select(F.when(swap, F.col("ids_b")).otherwise(F.col("ids_a")).alias("left_ids"), F.when(swap, F.col("ids_a")).otherwise(F.col("ids_b")).alias("right_ids"), "jaccard")
-    copies = ids.where("size(ids) > 1").select(F.col("ids").alias("left_ids"), F.col("ids").alias("right_ids"), F.lit(1.0).alias("jaccard"))
-    return pairs.unionByName(copies)
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root (least node) of every connected node of edges(a, b), by large-star and small-star rounds."""
+    sketch, reps, pairs = jaccard_pairs(docs, n, threshold, recall)
+    again = repeated(sketch)
+    sets = sketch.select("id", "node") if again.isEmpty() else cut(sketch.select("id", "node").distinct())
+    info = sets.groupBy("node").agg(F.count("*").alias("docs"), F.min("id").alias("rep"))
+    near = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).join(info.select(F.col("node").alias("b"), F.col("docs").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.sum("near").alias("near"))
+    roots = components(pairs.select("a", "b").union(_same_id(sketch, again)))
+    of = info.join(near, "node", "left").join(roots, "node", "left").select("node", "docs", "rep", F.coalesce("near", F.lit(0)).alias("near"), F.coalesce("root", "node").alias("root"))
+    of = cut(of.where((F.col("docs") > 1) | (F.col("near") > 0)))
+    least = of.groupBy("root").agg(F.min("rep").alias("class_id"), F.count("*").alias("docs"))
+    of = cut(with_hot(of.withColumnRenamed("docs", "copies"), cut(least), "root").drop("docs").withColumnRenamed("copies", "docs"))
+    rows = with_hot(sets, of, "node").select(F.col("id").alias("doc_id"), "class_id", F.col("rep").alias("copy_of"), F.col("docs").alias("copies"), (F.col("docs") - 1 + F.col("near")).alias("links"))
+    return rows if again.isEmpty() else rows.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("copy_of").alias("copy_of"), F.max("copies").alias("copies"), F.max("links").alias("links"))
+
+
+def repeated(sketch: DataFrame) -> DataFrame:
+    """id, a (its least node), n (rows) of the ids of several rows; checkpointed."""
+    return cut(sketch.groupBy("id").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"))
+
+
+def _same_id(sketch: DataFrame, again: DataFrame) -> DataFrame:
+    """a, b: edges between the texts of one id."""
+    return with_hot(sketch.select("id", "node"), again, "id", "n").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (least node) of every connected node of edges(a, b), by large-star and small-star rounds until they settle."""
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -253,22 +318,24 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
         state = now
-    raise RuntimeError("the components did not settle")
 
 
 def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(ids to drop, ids of several rows). Groups are the connected components of the pairs; the least id of a group stays."""
     sketch = sketches(docs, n, *choose_bands(threshold, recall))
     reps = cut(equal_sets(sketch))
-    edges = verified(docs, reps, cut(candidates(reps)), n, threshold, forest=True).select("a", "b")
-    again = cut(sketch.groupBy("id").agg(F.count("*").alias("rows"), F.min("set_a").alias("a"), F.collect_set("set_a").alias("nodes")).where("rows > 1"))
-    edges = edges.union(again.select("a", F.explode("nodes").alias("b")))  # the rows of an id are one document
-    roots = components(edges)
-    of = reps.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "ids")
-    linked = of.where("size(ids) > 1").select("root").union(roots.select("root")).distinct()
-    groups = of.join(linked, "root").select("root", F.explode("ids").alias("id"))
-    kept = groups.groupBy("root").agg(F.min("id").alias("kept"))
-    return cut(groups.join(kept, "root").where("id <> kept").select("id").distinct()), again.select("id")
+    again = repeated(sketch)
+    first = verified(docs, reps, cut(stars(reps, threshold)), n, threshold, forest=True).select("a", "b")
+    roots = cut(components(first.union(_same_id(sketch, again))))
+    grouped = cut(reps.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"))
+    rest = cut(candidates(grouped, threshold))
+    if not rest.isEmpty():
+        more = verified(docs, reps, rest, n, threshold, forest=True).select("a", "b")
+        roots = cut(components(more.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+    of = reps.join(roots, "node", "left").select("node", "rep", "docs", F.coalesce("root", "node").alias("root"))
+    kept = of.groupBy("root").agg(F.min("rep").alias("kept"), F.count("*").alias("n"), F.max("docs").alias("most"))
+    of = cut(with_hot(of, cut(kept), "root", "n").where("n > 1 or most > 1").select("node", "kept", "docs"))
+    return cut(with_hot(sketch.select("id", "node"), of, "node").where("id <> kept").select("id").distinct()), again.select("id")
 
 
 def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -277,6 +344,7 @@ def deduplicate(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recal
     kept = without_ids(docs, drop)
     if again.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in ["text", *[c for c, k in docs.dtypes if c not in ("doc_id", "text") and not k.startswith("map")]]])
-    one = with_ids(kept, again).withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
-    return without_ids(kept, again).unionByName(one)
+    order = [F.col(f"`{c}`") for c in ["text", *[c for c, k in docs.dtypes if c not in ("doc_id", "text") and "map<" not in k]]]
+    # a partial aggregate: the rows of an id don't meet in a task
+    one = with_ids(kept, again).groupBy(F.col("doc_id").alias("of id")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)).alias("row"))
+    return without_ids(kept, again).unionByName(one.select("row.*"))

@@ -56,7 +56,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """left_ids, right_ids, jaccard: a row for all pairs of an id of either list."""
+    """doc_id, class_id, copy_of, copies, links: each document that another one is near to or equal to."""
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
