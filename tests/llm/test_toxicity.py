@@ -53,34 +53,91 @@ def test_the_walk_finds_words_without_labels(spark):
         rows.append((i, " ".join(w), "en", "s"))
     docs = spark.createDataFrame(clashing(rows), SCHEMA)
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 900, 2)], "doc_id long, quality int, toxic int")
-    vocabulary, *_ = X.vocabulary(docs)
+    vocabulary = X.vocabulary(X.word_counts(docs))
     at = {w: int(np.searchsorted(vocabulary, X.word_ids(K.Slice(pa.array([w], pa.large_string())))[0])) for w in ("grub", "vile", "hidden", "w1", "w5")}
     polarity = X.walk(X.pair_table(docs, vocabulary), np.array([at["grub"], at["vile"]]), np.array([at["w1"]]), len(vocabulary))
     assert polarity[at["hidden"]] > polarity[at["w5"]] + 0.5
 
 
-def test_graph_counts_are_exact(spark, labelled, monkeypatch):
-    docs, *_ = labelled
-    texts = [r["text"].split() for r in docs.collect()]
-    vocabulary, n_docs, total = X.vocabulary(docs, 0.01, 3)
-    assert total == 1200
-    names = {w: int(X.word_ids(K.Slice(pa.array([w], pa.large_string())))[0]) for t in texts for w in t}
-    index = {w: int(np.searchsorted(vocabulary, np.uint64(h))) for w, h in names.items() if h in set(vocabulary.tolist())}
-    assert all(n_docs[k] == sum(w in set(t) for t in texts) for w, k in list(index.items())[:20])
-    truth: dict = {}
+def dense(texts, window, toxic, neutral):
+    """Words and their polarities by a dense matrix, word by word."""
+    docs_of: dict = {}
+    for t in texts:
+        for w in set(t):
+            docs_of[w] = docs_of.get(w, 0) + 1
+    nodes = sorted(w for w, n in docs_of.items() if n >= X.MIN_DOCS)
+    index = {w: k for k, w in enumerate(nodes)}
+    count = np.zeros((len(nodes),) * 2)
     for t in texts:
         for i, a in enumerate(t):
-            for b in t[i + 1 : i + 1 + X.WINDOW]:
+            for b in t[i + 1 : i + 1 + window]:
                 if a in index and b in index:
-                    k = min(index[a], index[b]), max(index[a], index[b])
-                    truth[k] = truth.get(k, 0) + 1
-    for most in (X.MERGE_PAIRS, 2000):  # the second: many merges and partial rows
-        monkeypatch.setattr(X, "MERGE_PAIRS", most)
-        monkeypatch.setattr(X, "BLOCK_WORDS", 256 if most > 2000 else 7)
-        got = {}
-        for r in X.pair_table(docs, vocabulary).collect():
-            got |= {divmod(int(k), len(vocabulary)): int(n) for k, n in zip(X._pairs(r["block"], bytes(r["pairs"]), len(vocabulary)), X._unpacked(bytes(r["n"])))}
-        assert got == truth
+                    count[index[a], index[b]] += 1
+                    if a != b:
+                        count[index[b], index[a]] += 1
+    degree = count.sum(axis=1) + np.diag(count)
+    safe = np.maximum(degree, 1)
+    least = np.minimum(safe[:, None], safe[None])
+    with np.errstate(divide="ignore"):
+        w = np.maximum(np.log(count * degree.sum() / np.outer(safe, safe)), 0) * count / (count + 1) * least / (least + 1)
+    strength = w.sum(axis=1)
+    out = []
+    for seeds in (toxic, neutral):
+        start = np.array([(x in seeds) / len(seeds) for x in nodes])
+        at = start
+        for _ in range(X.STEPS):
+            at = X.RESTART * start + (1 - X.RESTART) * w @ (at / np.maximum(strength, 1e-12))
+        out.append(at)
+    more = X.SMOOTH * (strength / strength.sum() + X.RESTART / len(toxic))
+    return nodes, count, np.log((out[0] + more) / (out[1] + more))
+
+
+def number(w):
+    return int(X.word_ids(K.Slice(pa.array([w], pa.large_string())))[0])
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_graph_and_walk_against_a_dense_matrix(spark, labelled, monkeypatch, small):
+    docs, *_ = labelled
+    if small:  # many merges, partial rows, tiles and rounds; parts of vectors meet by shuffle
+        for name, value in (("MERGE_PAIRS", 2000), ("SIDE", 64), ("FAN_IN", 2), ("DRIVER_BYTES", 0)):
+            monkeypatch.setattr(X, name, value)
+    texts = [r["text"].split() for r in docs.collect()]
+    toxic, neutral = ["grub", "zut"], ["w1", "w2", "lew1"]
+    nodes, count, truth = dense(texts, X.WINDOW, toxic, neutral)
+    counts = X.word_counts(docs)
+    assert {r["h"]: r["n"] for r in counts.collect()} == {number(w): sum(w in t for t in map(set, texts)) for w in nodes}
+    vocabulary = X.vocabulary(counts)
+    place = {w: int(np.searchsorted(vocabulary, np.uint64(number(w)))) for w in nodes}
+    rows = X.pair_table(docs, vocabulary)
+    got, tiles = np.zeros((len(nodes),) * 2), X.Tiles(len(nodes))
+    for i, j, a, b, n in (e for part in rows.toArrow().to_batches() for e in tiles.edges(part)):
+        assert not got[i + a, j + b].any()
+        got[i + a, j + b] = n
+        got[j + b, i + a] = n
+    order = [place[w] for w in nodes]
+    assert (got[np.ix_(order, order)] == count).all()
+    walked = X.walk(rows, np.array([place[w] for w in toxic]), np.array([place[w] for w in neutral]), len(nodes))
+    assert np.abs(walked[order] - truth).max() < 1e-9
+    if not small:  # by joins
+        seeds = spark.createDataFrame([(number(w), (w in toxic) / len(toxic), (w in neutral) / len(neutral)) for w in toxic + neutral], "h long, toxic double, neutral double")
+        wide = {r["h"]: r["polarity"] for r in X.wide_walk(X.wide_pairs(docs, counts), seeds).collect()}
+        linked = count.any(axis=1)
+        assert {number(w) for w, some in zip(nodes, linked) if some} == set(wide)
+        assert max(abs(wide.get(number(w), 0.0) - p) for w, p in zip(nodes, truth)) < 1e-9
+
+
+def test_the_walk_decides(spark, labelled, monkeypatch):
+    docs, labels, truth = labelled
+    found = {r["doc_id"] for r in X.score(docs, X.induce(docs, labels)).where("toxic").collect()}
+    wide = X.induce(docs, labels, broadcast_words=0)
+    assert wide.table is not None and {r["doc_id"] for r in X.score(docs, wide).where("toxic").collect()} == found
+    monkeypatch.setattr(X, "BROADCAST_WORDS", 0)
+    monkeypatch.setattr(X.induce, "__defaults__", (*X.induce.__defaults__[:-1], 0))
+    assert {r["doc_id"] for r in X.reject(docs, labels).collect()} == set(truth) - found
+    monkeypatch.undo()
+    monkeypatch.setattr(X, "walk", lambda rows, toxic, neutral, size: np.zeros(size))
+    assert X.score(docs, X.induce(docs, labels)).where("toxic").count() == 0 < len(found)
 
 
 def test_edge_cases(spark, messy, nothing):
