@@ -38,14 +38,26 @@ def checked(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else small
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A start of names that no column of df has."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def _by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    name = fresh(docs, "__id")
+    return docs.join(checked(ids.toDF(name)), docs[key] == F.col(name), how)
+
+
 def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key isn't in the one-column `ids` (checkpointed); rows with a null key stay."""
-    return docs.join(checked(ids.toDF("__drop_id")), docs[key] == F.col("__drop_id"), "left_anti")
+    return _by_ids(docs, ids, key, "left_anti")
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs whose key is in `ids`; as without_ids."""
-    return docs.join(checked(ids.toDF("__keep_id")), docs[key] == F.col("__keep_id"), "left_semi")
+    return _by_ids(docs, ids, key, "left_semi")
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -6,7 +6,7 @@ documents are served by finish time, and the service stops at the first that wou
 a share of all tokens. Until a source runs dry, each gets tokens in proportion to its weight.
 
 No task ever holds a whole source: the running sums are prefix sums in two levels, over
-ranges of the (uniform) hash within a source and over ranges of finish time between them.
+ranges of the (uniform) hash within a source and over ranges of finish time between them. The ranges follow from the number of rows.
 What is chosen of a source is a prefix of its queue, so `mix` needs only one cut a source
 and filters the documents where they lie; no text is shuffled.
 
@@ -25,16 +25,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, cut
+from .common import checked, cut, fresh
 
 #: Weights of the production mix; any other source has the default.
 WEIGHTS = {"src0": 2.0, "src1": 4.0, "src2": 4.0, "src3": 3.0, "src4": 2.0, "src5": 2.0}
 DEFAULT_WEIGHT = 1.0
 BUDGET_SHARE = 0.8
 SEED = "mix-1"
-#: Ranges of the hash in a source (a power of 16) and of finish times, between which the sums are carried.
-HASH_DIGITS = 2
-FINISH_RANGES = 256
+#: Rows, about, of a range of a source's hash, within which one task sums; the sums of ranges are carried between them.
+RANGE_ROWS = 50_000
+#: Finish times are parted evenly into so many times more ranges, as they are densest where all sources have documents; most ranges.
+DENSER, MOST_RANGES = 16, 1 << 20
 
 
 def n_tokens(text: Column | str) -> Column:
@@ -61,35 +62,30 @@ def _entries(docs: DataFrame, weights: dict[str, float], default: float, seed: s
 
 def schedule(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget_share: float = BUDGET_SHARE, seed: str = SEED) -> DataFrame:
     """doc_id, source, n_tokens, finish_time, total_tokens (served up to and with it) of the documents within the budget."""
-    entry = cut(_entries(docs, weights, default_weight, seed).withColumn("part", F.substring("h", 1, HASH_DIGITS)))
+    entry = cut(_entries(docs, weights, default_weight, seed))
+    ranges = entry.count() // RANGE_ROWS + 1
+    entry = entry.withColumn("part", F.substring("h", 1, (ranges.bit_length() + 3) // 4))
     parts = entry.groupBy("source", "part").agg(F.sum("n_tokens").alias("s"))
     before = parts.select("source", "part", (F.sum("s").over(Window.partitionBy("source").orderBy("part")) - F.col("s")).alias("before"))
     own = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     e = entry.withColumn("run", F.sum("n_tokens").over(own))
     e = e.join(before.toDF("__source", "__part", "before"), F.col("source").eqNullSafe(F.col("__source")) & (F.col("part") == F.col("__part")))
     timed = cut(e.select("doc_id", "source", "n_tokens", "h", ((F.col("before") + F.col("run")) / F.col("weight")).alias("finish_time")))
-    total, edges = timed.agg(F.sum("n_tokens"), F.percentile_approx("finish_time", [i / FINISH_RANGES for i in range(1, FINISH_RANGES)], 10_000)).first()
-    edges = sorted(set(edges or []))
-    budget = int((total or 0) * budget_share)
-    # the range of a finish time: how many edges are below it, by halving
-    ranged = timed.withColumn("range", _below(F.col("finish_time"), edges))
+    total, last = timed.agg(F.sum("n_tokens"), F.max("finish_time")).first()
+    budget, ranges = int((total or 0) * budget_share), min(ranges * DENSER, MOST_RANGES)
+    ranged = timed.withColumn("range", F.floor(F.col("finish_time") / F.lit((last or 1.0) / ranges)))
     sums = ranged.groupBy("range").agg(F.sum("n_tokens").alias("s"))
     offset = sums.select(F.col("range").alias("__range"), (F.sum("s").over(Window.orderBy("range")) - F.col("s")).alias("before"))
     within = Window.partitionBy("range").orderBy("finish_time", "h", "doc_id", "source").rowsBetween(Window.unboundedPreceding, 0)
-    served = ranged.withColumn("run", F.sum("n_tokens").over(within)).join(F.broadcast(offset), F.col("range") == F.col("__range"))  # FINISH_RANGES rows at most
+    served = ranged.withColumn("run", F.sum("n_tokens").over(within)).join(F.broadcast(offset), F.col("range") == F.col("__range"))  # MOST_RANGES rows at most
     return served.select("doc_id", "source", "n_tokens", "finish_time", (F.col("before") + F.col("run")).alias("total_tokens"), "h").where(F.col("total_tokens") <= budget)
 
 
-def _below(value: Column, edges: list[float]) -> Column:
-    if not edges:
-        return F.lit(0)
-    array = F.array(*[F.lit(x) for x in edges])
-    return F.size(F.filter(array, lambda x: x < value))
-
-
 def mix(docs: DataFrame, weights: dict[str, float] = WEIGHTS, default_weight: float = DEFAULT_WEIGHT, budget_share: float = BUDGET_SHARE, seed: str = SEED) -> DataFrame:
     """The rows of `docs` that `schedule` serves, with their columns."""
     # a chosen document's place in its queue: at or before the last one chosen of its source
-    last = schedule(docs, weights, default_weight, budget_share, seed).groupBy("source").agg(F.max(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last")).select(F.col("source").alias("__source"), F.col("last.h").alias("__h"), F.col("last.id").alias("__id"))
+    own = fresh(docs, "__last")
+    source, last_h, last_id = (f"{own}{c}" for c in ("source", "h", "id"))
+    last = schedule(docs, weights, default_weight, budget_share, seed).groupBy("source").agg(F.max(F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last")).select(F.col("source").alias(source), F.col("last.h").alias(last_h), F.col("last.id").alias(last_id))
     key, h = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))), _shuffled(docs["doc_id"].cast("long"), seed)
-    return docs.join(checked(cut(last)), docs["source"].cast("string").eqNullSafe(F.col("__source")) & ((h < F.col("__h")) | ((h == F.col("__h")) & (key <= F.col("__id")))), "left_semi")
+    return docs.join(checked(cut(last)), docs["source"].cast("string").eqNullSafe(F.col(source)) & ((h < F.col(last_h)) | ((h == F.col(last_h)) & (key <= F.col(last_id)))), "left_semi")

@@ -57,9 +57,13 @@ _W = "|".join(DIGIT_WORDS)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:{_W})|\d)(?:[\s.-]{{1,3}}(?:(?:{_W})(?![^\W_])|\d))+", re.I)
 _FOLDED = str.maketrans("İıſ", "iis")  # what re.I takes for i and s, lower() doesn't
 _DIGIT_WORD = re.compile(rf"(?<![^\W\d_])({_W})(?![^\W\d_])", re.I)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
-_AT = re.compile(r"(?<![^\W_])([\w.+%-]+)\s+(at)\s+((?:[\w-]+\s*(?:\.|\s+dot\s+)\s*)+[a-z]{2,})(?![^\W_])", re.I)
-_DOT = re.compile(r"(?<=[\w-])\s+dot\s+(?=[\w-])", re.I)
+# All of these begin at a literal, or where a run begins, and repeat possessively: no run is read again from each of its characters.
+_BRACKETED = re.compile(r"[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+", re.I)
+_AT = re.compile(r"(?<=[\w.+%-])\s++at\s++", re.I)
+_LABEL = re.compile(r"[\w-]++")
+_LAST = re.compile(r"[a-z]{2,}+(?![^\W_])", re.I)
+_SEPARATOR = re.compile(r"\s*+(?:\.|(?<=\s)dot(?=\s))\s*+", re.I)
+_DOT = re.compile(r"(?<=[\w-])\s++dot\s++(?=[\w-])", re.I)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 KINDS = {
@@ -149,19 +153,34 @@ def normalise(source: str) -> Text:
                 end = at + words[k + 1].start()
             spelled.append((start, end, DIGIT_WORDS[w.group().translate(_FOLDED).lower()]))
     text.rewrite(spelled)
-    sign = {"at": "@", "@": "@", "dot": ".", ".": "."}
-    text.rewrite([(m.start(), m.end(), sign[m.group(1).lower()]) for m in _BRACKETED.finditer(text.now)])
-    for m in [text.now]:
-        edits = []
-        for m in _AT.finditer(text.now):
-            host = re.sub(r"\s*(?:\.|\bdot\b)\s*", ".", m.group(3), flags=re.I)
-            if "." in host:
-                edits.append((m.end(1), m.start(3), "@"))
-        text.rewrite(edits)
+    sign, edits, until = {"at": "@", "@": "@", "dot": ".", ".": "."}, [], 0
+    for m in _BRACKETED.finditer(text.now):
+        start = m.start()
+        while start > until and text.now[start - 1].isspace():
+            start -= 1
+        until = m.end()
+        edits.append((start, until, sign[m.group(1).lower()]))
+    text.rewrite(edits)
+    edits, until = [], 0
+    for m in _AT.finditer(text.now):
+        if m.start() > until and (end := _host_end(text.now, m.end())):
+            edits.append((*m.span(), "@"))
+            until = end
+    text.rewrite(edits)
     text.rewrite(_dots(text.now))
     return text
 
 
+def _host_end(text: str, at: int) -> int:
+    """Where the host that begins at `at` ends, its labels parted by '.' or ' dot '; 0 if none does."""
+    end = 0
+    while (label := _LABEL.match(text, at)) and (sep := _SEPARATOR.match(text, label.end())):
+        at = sep.end()
+        if last := _LAST.match(text, at):
+            end = last.end()
+    return end
+
+
 def _dots(text: str) -> list[tuple[int, int, str]]:
     """The ' dot 's within an address: digits on either side, or an '@' in the words that it and other 'dot's join."""
     found = list(_DOT.finditer(text))
@@ -191,14 +210,16 @@ def luhn(digits: str) -> bool:
 def find(source: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, value) of a text's identifiers, by start."""
     text = normalise(source)
-    taken, found = [], []
+    starts, ends, found = [], [], []  # of what is found, disjoint and ascending
     for kind, pattern in KINDS.items():
         for m in pattern.finditer(text.now):
             if kind == "card" and not luhn(re.sub(r"\D", "", m.group())):
                 continue
-            if any(m.start() < e and s < m.end() for s, e in taken):
+            k = bisect_right(starts, m.start())
+            if (k and ends[k - 1] > m.start()) or (k < len(starts) and starts[k] < m.end()):
                 continue
-            taken.append(m.span())
+            starts.insert(k, m.start())
+            ends.insert(k, m.end())
             found.append((kind, *text.span(*m.span()), m.group()))
     return sorted(found, key=lambda f: f[1:])
 

@@ -14,6 +14,9 @@ from .common import table
 #: A unigram vocabulary: pieces and scores of a sentencepiece model file.
 VOCABULARY = os.environ.get("LUMENFLOW_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
 
+#: Shards so small that tables of any size split, and some documents are larger than a shard.
+SHARD_BYTES = 64 << 10
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -51,8 +54,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, shard_id, shard_bytes of every document."""
-    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "shard_id", "shard_bytes")
+    """doc_id, shard_id, shard_bytes of every document, in shards of SHARD_BYTES."""
+    return sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"), SHARD_BYTES).select("doc_id", "shard_id", "shard_bytes")
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,9 +95,9 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
         sums AS (
-            SELECT bits, h >> (60 - bits) AS q, sum(bytes) AS total FROM d, generate_series(0, 24) AS g(bits) GROUP BY ALL),
+            SELECT bits, h >> (60 - bits) AS q, sum(bytes) AS total FROM d, generate_series(0, 60) AS g(bits) GROUP BY ALL),
         leaf AS (
             SELECT d.doc_id, d.h, min(bits) AS bits, max(total) AS shard_bytes FROM d, sums
-            WHERE q = h >> (60 - bits) AND total <= {sharding.LIMIT_BYTES} GROUP BY d.doc_id, d.h)
+            WHERE q = h >> (60 - bits) AND (total <= {SHARD_BYTES} OR bits = 60) GROUP BY d.doc_id, d.h)
         SELECT doc_id, substr(lpad(bin(h), 60, '0'), 1, CAST(bits AS INT)) AS shard_id, CAST(shard_bytes AS BIGINT) AS shard_bytes FROM leaf""",
 }

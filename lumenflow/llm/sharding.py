@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, cut
+from .common import checked, cut, fresh
 
 LIMIT_BYTES = 32 << 20
 MAX_BITS = 60
@@ -35,8 +35,8 @@ def hash_bits(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
-def _prefix(h: Column, bits: int | Column) -> Column:
-    return F.expr("shiftright(__h, cast(60 - __bits as int))") if isinstance(bits, Column) else F.shiftright(h, MAX_BITS - bits)
+def _prefix(h: Column, bits: int) -> Column:
+    return F.shiftright(h, MAX_BITS - bits)
 
 
 def _leaves(rows: DataFrame, start: int, depth: int, limit: int) -> DataFrame:
@@ -73,12 +73,14 @@ def shard_name(h: Column, bits: Column) -> Column:
 
 def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """docs with shard_id (the hash prefix in binary) and shard_bytes. No row moves: `write` brings shards together."""
-    plain = docs.drop("shard_id", "shard_bytes")
-    out = plain.withColumn("__h", hash_bits(F.col("doc_id").cast("long"))).withColumns({"__bits": F.lit(None).cast("int"), "__bytes": F.lit(None).cast("long")})
+    out = docs.drop("shard_id", "shard_bytes")
+    own = fresh(out, "__shard")
+    h, bits, size = f"{own}h", f"{own}bits", f"{own}bytes"
+    out = out.withColumn(h, hash_bits(F.col("doc_id").cast("long"))).withColumns({bits: F.lit(None).cast("int"), size: F.lit(None).cast("long")})
     for k, (depth, leaves) in enumerate(directory(docs, limit_bytes)):
-        side = checked(leaves.toDF(f"__p{k}", f"__bits{k}", f"__bytes{k}"))
-        out = out.join(side, _prefix(F.col("__h"), depth) == F.col(f"__p{k}"), "left").withColumns({"__bits": F.coalesce("__bits", f"__bits{k}"), "__bytes": F.coalesce("__bytes", f"__bytes{k}")}).drop(f"__p{k}", f"__bits{k}", f"__bytes{k}")
-    return out.withColumns({"shard_id": shard_name(F.col("__h"), F.col("__bits")), "shard_bytes": F.col("__bytes")}).drop("__h", "__bits", "__bytes")
+        p, b, s = (f"{c}{k}" for c in (f"{own}p", bits, size))
+        out = out.join(checked(leaves.toDF(p, b, s)), _prefix(F.col(h), depth) == F.col(p), "left").withColumns({bits: F.coalesce(bits, b), size: F.coalesce(size, s)}).drop(p, b, s)
+    return out.withColumns({"shard_id": shard_name(F.col(h), F.col(bits)), "shard_bytes": F.col(size)}).drop(h, bits, size)
 
 
 def write(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES) -> None:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut, lean
+from .common import batch, cut, fresh, lean
 
 MAX_LABELLED = 10_000
 MIN_DOCS = 3
@@ -531,9 +531,10 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that score as toxic."""
     lexicon, column = induce(docs, labels), docs.columns.index("text")
     if lexicon.table is not None:
-        rows = docs.withColumn("__row", F.monotonically_increasing_id())
-        bad = _scored(rows.select("__row", F.col("text").cast("string").alias("text")), lexicon).where(F.col("__score") >= lexicon.threshold)
-        return rows.join(bad, "__row", "left_anti").drop("__row")
+        row = fresh(docs, "__row")
+        rows = docs.withColumn(row, F.monotonically_increasing_id())
+        bad = _scored(rows.select(F.col(row).alias("__row"), F.col("text").cast("string").alias("text")), lexicon).where(F.col("__score") >= lexicon.threshold)
+        return rows.join(bad.select(F.col("__row").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.sparkSession.sparkContext.broadcast(lexicon)  # BROADCAST_WORDS at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

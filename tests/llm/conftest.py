@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard_id string, id long, a string, block int, node string, key string, h string, n long, toxic int, part string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, shard_id string, id long, a string, block int, node string, key string, h string, n long, toxic int, part string, __h long, __bits int, __id long, __row long, __sharded string, range int, group string, links long"
 
 
 def words(seed: int, n: int, vocabulary: int = 400) -> list[str]:
@@ -12,7 +12,7 @@ def words(seed: int, n: int, vocabulary: int = 400) -> list[str]:
 
 def clashing(rows):
     """(doc_id, text, lang, source) rows with columns whose names the operators might use themselves."""
-    return [(i, t, la, s, None if t is None else len(t), 0.5, "x", 7, "a", 1, "n", "k", "h", 3, 1, "p") for i, t, la, s in rows]
+    return [(i, t, la, s, None if t is None else len(t), 0.5, "x", 7, "a", 1, "n", "k", "h", 3, 1, "p", 1, 2, 3, 4, "s", 5, "g", 6) for i, t, la, s in rows]
 
 
 @pytest.fixture(scope="session")

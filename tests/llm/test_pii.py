@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -85,3 +86,22 @@ def test_each_disguise_in_a_text_of_its_own(spark):
     texts = [t for t, _ in ALONE] + [c[0] for c in CASES]
     got = P.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r["doc_id"], r["value"]) for r in got) == sorted(enumerate([v for _, v in ALONE] + [c[3] for c in CASES]))
+
+
+def test_long_runs_take_linear_time():
+    """A megabyte of each: what retries a run at each of its characters takes hours."""
+    for run in ("-", ".", " ", "7", "_", "a", "@", "(", "\n", " at ", " dot ", "one ", "a.", "a ", "[ ", "1 ", "x at y dot ", "a@b.example ", "4-", "- at "):
+        text = run * (1_000_000 // len(run))
+        began = time.process_time()
+        found = P.find(text + " joe@example.com")
+        assert time.process_time() - began < 30, run
+        assert "joe" in found[-1][3] or run in "-._7a@", run
+
+
+def test_parts_of_an_address_may_be_far_apart():
+    for gap in (1, 230, 100_000):
+        text = "write to jane at " + "mail" * gap + " dot example" + " " * gap + "dot com today"
+        (kind, start, end, value), = P.find(text)
+        assert kind == "email" and text[start:end].startswith("jane at") and text[start:end].endswith("dot com") and value == "jane@" + "mail" * gap + ".example.com"
+        (kind, start, end, value), = P.find("joe" + " " * gap + "(at)" + " " * gap + "example.com")
+        assert (kind, start, value) == ("email", 0, "joe@example.com")
