@@ -6,8 +6,9 @@ covariance-determinant estimate of location and scatter is found by concentratio
 
 Shares are shrunk to the corpus's own by a prior of PRIOR_CHARS or PRIOR_WORDS, so that short texts aren't outliers
 by chance. FLOOR only bounds the scatter's eigenvalues from below, for groups (nearly) without spread. A step is an aggregation of
-moments by group over the vectors: no task holds a group, and hot sources don't matter. Groups of fewer than MIN_GROUP
-documents use their language's estimate, such languages the corpus's.
+moments by group over the vectors: no task holds a group, and hot sources don't matter. Estimates are made of every group, every
+language and the corpus; a language's is averaged with the corpus's, which weighs PRIOR_ROWS documents, and a
+group's with its language's. So small groups lean on wider ones by degrees, and no size switches the method.
 
 Defined results
 ---------------
@@ -36,7 +37,8 @@ NAMES = ("word_length", "upper", "digit", "sign", "repeated", "distinct")
 PRIOR_CHARS, PRIOR_WORDS = 300.0, 60.0
 #: Least standard deviations.
 FLOOR = (0.005,) * 6
-MIN_GROUP = 60
+#: Documents that the wider estimate weighs in a group's or a language's.
+PRIOR_ROWS = 60.0
 COVERAGE = 0.75
 #: Small samples to start from, beside the robust and the classical start; their rows.
 SAMPLES, SAMPLE_ROWS = 2, 14
@@ -114,9 +116,17 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.count("*").alias("n"), *sums)
 
 
+def _inverse(scatter: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log determinant (in units of FLOOR) of the scatter, its eigenvalues bounded from below."""
+    unit = np.outer(FLOOR, FLOOR)
+    values, vectors = np.linalg.eigh((scatter + scatter.T) / 2 / unit)
+    values = np.maximum(values, 1)
+    return (vectors / values) @ vectors.T / unit, float(np.log(values).sum())
+
+
 def _fitted(moments: DataFrame, coverage: float) -> DataFrame:
-    """key, mean, inverse, logdet of each group's moments; scatter made consistent for the share `coverage` of nearest rows."""
-    k, floor = len(NAMES), np.array(FLOOR)
+    """key, mean, inverse, logdet, scatter of each group's moments; scatter made consistent for the share `coverage` of nearest rows."""
+    k = len(NAMES)
     # E of the truncated chi-square: P(chi2_{k+2} <= q) / coverage
     q = chi2(coverage, k) if coverage < 1 else None
     shrink = _below(q, k + 2) / coverage if q else 1.0
@@ -127,13 +137,12 @@ def _fitted(moments: DataFrame, coverage: float) -> DataFrame:
             for r in part.to_dict("records"):
                 mean = np.array([r[f"s{i}"] / r["n"] for i in range(k)])
                 second = np.array([[r[f"s{min(i, j)}_{max(i, j)}"] / r["n"] for j in range(k)] for i in range(k)])
-                scatter = (second - np.outer(mean, mean)) / shrink / np.outer(floor, floor)
-                values, vectors = np.linalg.eigh((scatter + scatter.T) / 2)
-                values = np.maximum(values, 1)
-                out.append((r["key"], mean.tolist(), ((vectors / values) @ vectors.T / np.outer(floor, floor)).ravel().tolist(), float(np.log(values).sum())))
-            yield pd.DataFrame(out, columns=["key", "mean", "inverse", "logdet"])
+                scatter = (second - np.outer(mean, mean)) / shrink
+                inverse, logdet = _inverse(scatter)
+                out.append((r["key"], mean.tolist(), inverse.ravel().tolist(), logdet, scatter.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["key", "mean", "inverse", "logdet", "scatter"])
 
-    return cut(moments.mapInPandas(run, "key string, mean array<double>, inverse array<double>, logdet double"))
+    return cut(moments.mapInPandas(run, "key string, mean array<double>, inverse array<double>, logdet double, scatter array<double>"))
 
 
 def _below(q: float, k: int) -> float:
@@ -152,7 +161,7 @@ def _started(rows: DataFrame) -> DataFrame:
 
 def _step(rows: DataFrame, now: DataFrame, coverage: float) -> DataFrame:
     """The estimate of the share `coverage` of rows that are nearest by the estimate `now`."""
-    far = rows.join(checked(now), "key").select("key", "x", _distance().alias("d"))
+    far = rows.join(checked(now.select("key", "mean", "inverse")), "key").select("key", "x", _distance().alias("d"))
     edge = far.groupBy("key").agg(F.percentile_approx("d", coverage, 10_000).alias("edge"))
     return _fitted(_moments(far.join(edge, "key").where("d <= edge")), coverage)
 
@@ -170,38 +179,58 @@ def _started_all(rows: DataFrame) -> DataFrame:
     return cut(reduce(DataFrame.union, named))
 
 
-def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
-    """key, mean, inverse by minimum covariance determinant of rows(key, x)."""
-    rows = cut(rows)
+def concentrated(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
+    """key, mean, inverse, logdet, scatter by minimum covariance determinant of the checkpointed rows(key, x)."""
     now = _started_all(rows)
     each = rows.select(F.explode(F.array(*[F.concat(F.lit(str(k)), "key") for k in range(2 + SAMPLES)])).alias("key"), "x")
     for _ in range(steps):
         now = _step(each, now, coverage)
-    now = cut(now.groupBy(F.expr("substr(key, 2)").alias("key")).agg(F.min_by(F.struct("mean", "inverse", "logdet"), "logdet").alias("best")).select("key", "best.*"))
+    best = ["mean", "inverse", "logdet", "scatter"]
+    now = cut(now.groupBy(F.expr("substr(key, 2)").alias("key")).agg(F.min_by(F.struct(*best), "logdet").alias("best")).select("key", "best.*"))
     for _ in range(MOST_STEPS):
         then, now = now, _step(rows, now, coverage)
         if now.join(then.select("key", F.col("logdet").alias("was")), "key").where(F.col("was") - F.col("logdet") > TOLERANCE).isEmpty():
             break
-    now = now.drop("logdet")
+    return now
+
+
+def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -> DataFrame:
+    """key, n, mean, inverse, scatter by minimum covariance determinant of rows(key, x), reweighted; n: all rows of the key."""
+    rows = cut(rows)
+    now = concentrated(rows, steps, coverage).drop("logdet")
     # reweighting: the rows within the 97.5 % ellipsoid of the estimate
-    near = rows.join(checked(now), "key").where(_distance() <= chi2(0.975, len(NAMES)))
-    again = _fitted(_moments(near), 0.975)
-    return cut(now.select("key", F.col("mean").alias("m"), F.col("inverse").alias("i")).join(again, "key", "left").select("key", F.coalesce("mean", "m").alias("mean"), F.coalesce("inverse", "i").alias("inverse")))
+    near = rows.join(checked(now.drop("scatter")), "key").where(_distance() <= chi2(0.975, len(NAMES)))
+    again = _fitted(_moments(near), 0.975).drop("logdet")
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n"))
+    mine = [F.coalesce(F.col(c), F.col(f"{c}0")).alias(c) for c in ("mean", "inverse", "scatter")]
+    return cut(sizes.join(now.select("key", *[F.col(c).alias(f"{c}0") for c in ("mean", "inverse", "scatter")]), "key").join(again, "key", "left").select("key", "n", *mine))
+
+
+def shrunk(groups: DataFrame, fitted: DataFrame, prior: float = PRIOR_ROWS) -> DataFrame:
+    """key, mean, inverse of each of groups(key, wide): its estimate averaged with its language's (wide), that with the corpus's ({})."""
+    wide = lambda c, k: fitted.select(F.col("key").alias(k), *[F.col(x).alias(f"{x}{c}") for x in ("n", "mean", "scatter")])
+    rows = groups.withColumn("all", F.lit("{}")).join(wide(0, "all"), "all").join(wide(1, "wide"), "wide").join(wide(2, "key"), "key")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.to_dict("records"):
+                mean, scatter = np.array(r["mean0"]), np.array(r["scatter0"])
+                for c in (1, 2):
+                    own = r[f"n{c}"] / (r[f"n{c}"] + prior)
+                    mean, scatter = own * np.array(r[f"mean{c}"]) + (1 - own) * mean, own * np.array(r[f"scatter{c}"]) + (1 - own) * scatter
+                out.append((r["key"], mean.tolist(), _inverse(scatter.reshape(len(mean), -1))[0].ravel().tolist()))
+            yield pd.DataFrame(out, columns=["key", "mean", "inverse"])
+
+    return cut(rows.select("key", *[f"{x}{c}" for c in range(3) for x in ("n", "mean", "scatter")]).mapInPandas(run, "key string, mean array<double>, inverse array<double>"))
 
 
-def judge(docs: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
+def judge(docs: DataFrame, prior: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
     """doc_id, lang, source, distance (Mahalanobis), kept, of every text that isn't blank."""
     stats = statistics(docs)
     name = F.to_json(F.struct("lang", "source"), {"ignoreNullFields": "false"})
     of_lang = F.to_json(F.struct("lang"), {"ignoreNullFields": "false"})
-    sizes = cut(stats.groupBy(name.alias("group"), of_lang.alias("own_lang")).count())
-    lang = sizes.groupBy("own_lang").agg(F.sum("count").alias("all"))
-    which = cut(sizes.join(lang, "own_lang").select("group", "own_lang", F.when(F.col("count") >= min_group, F.col("group")).when(F.col("all") >= min_group, F.col("own_lang")).otherwise(F.lit("{}")).alias("key")))
-    named = stats.withColumns({"group": name}).join(checked(which), "group")
-    rows = named.where("key = group").select("key", "x")
-    if not (wider := which.where("key = own_lang").select("key").distinct()).isEmpty():
-        rows = rows.union(named.join(checked(cut(wider.select(F.col("key").alias("wide")))), F.col("own_lang") == F.col("wide")).select("own_lang", "x"))
-    if not which.where("key = '{}'").isEmpty():
-        rows = rows.union(named.select(F.lit("{}"), "x"))
-    fitted = estimates(rows)
-    return named.join(checked(fitted), "key").select("doc_id", "lang", "source", F.sqrt(_distance()).alias("distance"), (_distance() <= chi2(cutoff, len(NAMES))).alias("kept"))
+    named = stats.withColumns({"key": name, "wide": of_lang})
+    fitted = estimates(named.select(F.explode(F.array("key", "wide", F.lit("{}"))).alias("key"), "x"))
+    groups = shrunk(named.select("key", "wide").distinct(), fitted, prior)
+    return named.join(checked(groups), "key").select("doc_id", "lang", "source", F.sqrt(_distance()).alias("distance"), (_distance() <= chi2(cutoff, len(NAMES))).alias("kept"))

@@ -64,9 +64,9 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, url, score, accepted (true): the pages whose URL the two language models accept."""
+    """page_id, url, score, accepted (true): the pages whose URL the two language models accept; trained on the list's labels, as there are no others."""
     pages = table(spark, sf_dir, "pages")
-    return url_filter.score(pages, url_filter.train(pages)).where("accepted")
+    return url_filter.score(pages, url_filter.train(url_filter.listed(pages))).where("accepted")
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ to the uniform distribution with Witten-Bell weights. A URL's score is the mean
 log probabilities; the cut is calibrated on URLs held out of the training: the score that parts them best (Youden's J), at
 equal merit the one that keeps more.
 
-Training URLs are labelled by REJECTED, terms in the host that a list rejects; all distinct URLs of the table count,
-one in HOLD_OUT of them, by hash, held out for the cut. Every URL of the table is scored.
+Training URLs come labelled, as a table of (url, rejected). Where there is none, `listed` labels the pages' own URLs: a host
+is rejected if REJECTED lists one of its terms (what '.', '-' and digits part, or several of them in a row). All distinct
+labelled URLs count, one in HOLD_OUT of them, by hash, held out for the cut. Every URL of the table is scored; the models
+judge the whole URL, so that they reject look-alikes that no list has (kasino) and may accept what a list catches by a term.
 
 A character's probability depends on the gram of it and the ORDER characters before it alone, and the counts of all orders
 are sums of those of grams. So grams are counted by aggregation, each distinct gram is valued once (lower orders meet
@@ -15,7 +17,7 @@ higher ones by joins), and URLs add up the values of their grams: broadcast up t
 Defined results
 ---------------
 * URLs are lower-cased and trimmed; characters beyond ASCII count as their UTF-8 bytes.
-* A null or blank URL has no score and isn't accepted. Without examples of both classes there is no model: scores are null
+* A null or blank URL has no score and isn't accepted; it doesn't train, nor does one without a label. A URL labelled both ways is rejected. Without examples of both classes there is no model: scores are null
   and every URL that isn't blank is accepted.
 * A null page_id is kept; repeated URLs weigh once in training, and each row is scored. Empty tables give no rows.
 * Columns besides page_id and url are ignored.
@@ -266,14 +268,17 @@ def best_cut(scored: DataFrame) -> float:
     return best["score"] - 1e-9 if best["previous"] is None else (best["score"] + best["previous"]) / 2
 
 
-def train(pages: DataFrame, rejected: tuple[str, ...] = REJECTED) -> Model | None:
-    """The filter of this table, or None without examples of both classes."""
-    host = F.regexp_extract("url", r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
-    bad = F.lit(False)
-    for term in rejected:
-        bad = bad | host.contains(term)
-    urls = pages.select(_clean(F.col("url")).alias("url")).where("url <> ''").distinct()
-    urls = cut(urls.withColumn("bad", bad).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD_OUT)) == 0))
+def listed(pages: DataFrame, terms: tuple[str, ...] = REJECTED) -> DataFrame:
+    """url, rejected: the pages' URLs, labelled by whether a list has a term of the host."""
+    host = F.regexp_extract(_clean(F.col("url")), r"^(?:[a-z][a-z0-9+.-]*://)?([^/?#]*)", 1)
+    found = host.rlike(f"(^|[.0-9-])({'|'.join(terms)})([.0-9:-]|$)") if terms else F.lit(False)
+    return pages.select("url", found.alias("rejected"))
+
+
+def train(labelled: DataFrame) -> Model | None:
+    """The filter of labelled(url, rejected), or None without examples of both classes."""
+    urls = labelled.select(_clean(F.col("url")).alias("url"), F.col("rejected").cast("boolean").alias("bad")).where("url <> '' and bad is not null")
+    urls = cut(urls.groupBy("url").agg(F.max("bad").alias("bad")).withColumn("held", F.pmod(F.xxhash64("url"), F.lit(HOLD_OUT)) == 0))
     sizes = {(r["bad"], r["held"]): r["count"] for r in urls.groupBy("bad", "held").count().collect()}
     if {b for b, _ in sizes} != {False, True}:
         return None

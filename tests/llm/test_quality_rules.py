@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def test_junk_goes_clean_stays(spark):
     assert len(kept) >= 0.99 * 1350
 
 
-def test_small_groups_use_wider_ones(spark):
+def test_small_groups_lean_on_wider_ones(spark):
     rows = [(i, " ".join(words(i, 80)), "en", "big" if i < 300 else f"small{i}") for i in range(330)] + [(1000 + i, " ".join(words(i, 80)), f"rare{i}", None) for i in range(5)]
     out = R.judge(spark.createDataFrame(clashing(rows), SCHEMA))
     assert out.count() == 335 and out.where("kept").count() >= 330
@@ -80,3 +82,27 @@ def test_the_scatter_decides_not_the_floor(spark):
     inverse = np.array(est["inverse"]).reshape(k, k)
     d = lambda x: np.einsum("ij,jk,ik->i", x - est["mean"], inverse, x - est["mean"])
     assert (d(bad) > R.chi2(R.CUTOFF, k)).all() and (d(clean) <= R.chi2(R.CUTOFF, k)).mean() >= 0.99
+
+
+def test_the_least_determinant_of_all_subsets(spark):
+    """20 points, every subset of 15 of them."""
+    r = np.random.default_rng(4)
+    k = len(R.NAMES)
+    x = np.concatenate([r.normal(size=(15, k)) * 0.05, r.normal(size=(5, k)) * 0.05 + 1])
+    subsets = np.array(list(itertools.combinations(range(20), 15)))
+    logdet = np.array([np.linalg.slogdet(np.cov(x[list(c)].T, bias=True))[1] for c in subsets])
+    best = x[subsets[logdet.argmin()]]
+    rows = R.cut(spark.createDataFrame([("g", v.tolist()) for v in x], "key string, x array<double>"))
+    got = R.concentrated(rows).first()
+    assert np.allclose(got["mean"], best.mean(axis=0))
+    scatter = np.array(got["scatter"]).reshape(k, k) * R._below(R.chi2(R.COVERAGE, k), k + 2) / R.COVERAGE
+    assert np.allclose(scatter, np.cov(best.T, bias=True))
+
+
+def test_shrinking_by_hand(spark):
+    k = len(R.NAMES)
+    eye = lambda v: (np.eye(k) * v).ravel().tolist()
+    fitted = spark.createDataFrame([("{}", 1000, [0.0] * k, eye(1.0)), ("l", 60, [1.0] * k, eye(2.0)), ("g", 20, [4.0] * k, eye(4.0))], "key string, n long, mean array<double>, scatter array<double>")
+    got = R.shrunk(spark.createDataFrame([("g", "l")], "key string, wide string"), fitted, 60.0).first()
+    assert np.allclose(got["mean"], 0.25 * 4 + 0.75 * 0.5)
+    assert np.allclose(np.linalg.inv(np.array(got["inverse"]).reshape(k, k)), np.eye(k) * (0.25 * 4 + 0.75 * 1.5))
