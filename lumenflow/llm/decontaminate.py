@@ -10,13 +10,15 @@ item's. A table samples a few coordinates; windows that agree on all coordinates
 are a candidate. Candidates are verified by the exact edit distance between the item and
 its best placement in the text.
 
-Windows of similar length share tables. Items of fewer than SHORT words are searched from every position. An item of more than MAX_WINDOW words is searched by its consecutive
+Windows of similar length share tables; how many there are follows from RECALL, the share of items with as many edits as the bound
+allows that must become candidates (`tables_for`, by simulation). Items of fewer than SHORT words are searched from every position,
+those whose bound allows no edit by their words themselves. An item of more than MAX_WINDOW words is searched by its consecutive
 pieces: within the edit bound, some piece keeps within its own share of it.
 
 Defined results
 ---------------
 * A document is contaminated by an item if a passage of it is within floor(max_edit * words) word edits.
-* Items of fewer than MIN_WORDS words, or null or blank, match nothing. Equal items (ties) each give a row.
+* Null or blank items match nothing; one of a single word is in every text that has the word. Equal items (ties) each give a row.
 * Null or blank texts match nothing and are kept by `decontaminate`, whatever their doc_id.
 * A null doc_id is reported as null by `contaminated` and filtered like any other.
 * Repeated rows are each searched; `contaminated` reports (doc_id, item_id) once, with the least edits, then
@@ -25,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,15 +41,17 @@ from . import kernels as K
 from .common import batch, lean
 
 MAX_EDIT = 0.2
-MIN_WORDS = 5
 MAX_WINDOW = 64
 STRIDE = 4
 #: Items of fewer words are searched from every position, in a pass of their own: offset windows of them would be too short to tell.
 SHORT = 12
 WALKS = 3
-#: Tables of each walk and class of lengths, coordinates of each table; tests/llm measure the recall at the edit bound.
-TABLES = 9
+#: Recall of the candidates at the edit bound, from which the number of tables of each walk and class of lengths follows; coordinates of each table.
+RECALL = 0.92
+MOST_TABLES = 40
 COORDINATES = 3
+#: Edited items that are simulated for each class.
+TRIALS = 400
 #: Steps of a class, as a multiple of its least window: a walk moves on at every other step.
 REACH = 1.55
 SEED = 1
@@ -59,11 +64,11 @@ HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("position",
 
 @lru_cache(256)
 def coordinates(least: int) -> list[tuple[int, list[np.ndarray]]]:
-    """(steps, for each walk [tables, coordinates]) of windows of `least` words and more."""
+    """(steps, for each walk [MOST_TABLES, coordinates]) of windows of `least` words and more."""
     steps = max(COORDINATES + 1, int(REACH * least))
     rng = np.random.default_rng([SEED, least])
     parts = np.linspace(0, steps, COORDINATES + 1).astype(int)  # one coordinate of each third: neighbours often output the same word
-    return steps, [np.stack([rng.integers(lo, hi, TABLES) for lo, hi in zip(parts[:-1], parts[1:])], axis=1) for _ in range(WALKS)]
+    return steps, [np.stack([rng.integers(lo, hi, MOST_TABLES) for lo, hi in zip(parts[:-1], parts[1:])], axis=1) for _ in range(WALKS)]
 
 
 def least_of_class(length: int) -> int:
@@ -78,12 +83,74 @@ def step_bits(words: np.ndarray, walk: int, steps: int) -> list[np.ndarray]:
     return [np.where(words == 0, K.U(0), K.mix(words ^ K.mix(np.array([SEED + 1000 * walk + k + 1], K.U) * K._C[5]))) for k in range(-(-steps // 64))]
 
 
+@lru_cache(256)
+def tables_for(least: int, stride: int, max_edit: float, recall: float = RECALL) -> int:
+    """Tables of each walk of a class: how many find `recall` of simulated items of `least` words, each with the most edits allowed at random places."""
+    rng = np.random.default_rng([SEED, least, 2])
+    word = lambda n: rng.integers(1 << 20, 1 << 62, n).astype(K.U)
+    items, texts = [], []
+    for _ in range(TRIALS):
+        item = word(least)
+        edited = list(item)
+        for _ in range(int(max_edit * least + 1e-9)):
+            at, kind = int(rng.integers(0, len(edited))), rng.integers(0, 3)
+            edited[at : at + (kind != 0)] = [] if kind == 1 else [word(1)[0]]
+        text = np.concatenate([word(int(rng.integers(0, stride))), np.array(edited, K.U), word(2 * least)])
+        items += [item[o:] for o in range(stride)]
+        texts += [text[at:] for at in range(0, 3 * stride, stride)]
+    steps, sampled = coordinates(least)
+    first = np.full(TRIALS, MOST_TABLES)
+    for walk in range(WALKS):
+        a = Search._embed(items, walk, steps).reshape(steps, TRIALS, stride, 1)
+        b = Search._embed(texts, walk, steps).reshape(steps, TRIALS, 1, 3)
+        for t, table in enumerate(sampled[walk]):
+            hit = (a[table] == b[table]).all(axis=0).any(axis=(1, 2))
+            first[hit] = np.minimum(first[hit], t)
+    return min(MOST_TABLES, int(np.sort(first)[math.ceil(recall * TRIALS) - 1]) + 1)
+
+
+class Exact:
+    """Items of so few words that no edit is allowed: looked up by all their words."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items = items
+        self.tables = {}  # length: (sorted keys, their items)
+        for n in {len(w) for _, w in items}:
+            members = np.array([k for k, (_, w) in enumerate(items) if len(w) == n])
+            keys = self._keys(np.concatenate([items[k][1] for k in members]).reshape(-1, n))
+            order = np.argsort(keys, kind="stable")
+            self.tables[n] = keys[order], members[order]
+
+    @staticmethod
+    def _keys(words: np.ndarray) -> np.ndarray:
+        key = np.zeros(len(words), K.U)
+        for k in range(words.shape[1]):
+            key = K.mix(key * K._C[1] + words[:, k])
+        return key
+
+    def matches(self, padded: np.ndarray, doc: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
+        """As Search.matches."""
+        for n, (keys, members) in self.tables.items():
+            if len(padded) < n:
+                continue
+            window = np.lib.stride_tricks.sliding_window_view(padded, n)
+            key = self._keys(window)
+            left, right = np.searchsorted(keys, key), np.searchsorted(keys, key, "right")
+            some = np.flatnonzero((right > left) & (window != 0).all(axis=1))
+            for shift in range(int((right - left)[some].max()) if len(some) else 0):
+                at = some[left[some] + shift < right[some]]
+                item = members[left[at] + shift]
+                for i in np.unique(item):
+                    here = at[item == i]
+                    here = here[(window[here] == self.items[i][1]).all(axis=1)]
+                    yield doc[here], int(i), here - bound[doc[here]], np.zeros(len(here), np.int64)
+
+
 class Search:
     """The tables of a set of items: arrays of words by item id."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], max_edit: float = MAX_EDIT):
-        self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
-        self.max_edit = max_edit
+        self.items, self.max_edit = items, max_edit
         self.stride = 1 if any(len(w) < SHORT for _, w in self.items) else STRIDE
         windows = []
         for k, (_, w) in enumerate(self.items):
@@ -100,7 +167,7 @@ class Search:
             _, sampled = coordinates(least)
             for walk in range(WALKS):
                 embedded = self._embed([self.items[windows[x][0]][1][windows[x][1] : windows[x][2]] for x in members], walk, coordinates(least)[0])
-                for table in sampled[walk]:
+                for table in sampled[walk][: tables_for(least, self.stride, max_edit)]:
                     keys = self._key(embedded[table])
                     order = np.argsort(keys, kind="stable")
                     size = 1 << max(16, int(8 * len(keys)).bit_length())
@@ -220,24 +287,27 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return padded, np.repeat(np.arange(words.n_docs), np.diff(bound)), bound
 
 
-def searches(benchmark: DataFrame, max_edit: float) -> list[Search]:
-    """The items, read to the driver: short and other ones, in passes of PASS_WORDS words."""
+def searches(benchmark: DataFrame, max_edit: float) -> list[Search | Exact]:
+    """The items, read to the driver: few-worded, short and other ones, in passes of PASS_WORDS words."""
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator()
-    found, kinds = [], {True: ([], 0), False: ([], 0)}
+    found, kinds = [], {k: ([], 0) for k in (Exact, True, False)}  # few words, short, others
+    search = lambda kind, items: Exact(items) if kind is Exact else Search(items, max_edit)
     for item, text in rows:
         padded, _, _ = words_of(pa.array([text], pa.large_string()))
-        short = len(padded) - 1 < SHORT
-        items, held = kinds[short]
+        if (n := len(padded) - 1) < 1:
+            continue
+        kind = Exact if int(max_edit * n + 1e-9) < 1 else n < SHORT
+        items, held = kinds[kind]
         items.append((item, padded[:-1]))
         held += len(padded)
         if held > PASS_WORDS:
-            found.append(Search(items, max_edit))
+            found.append(search(kind, items))
             items, held = [], 0
-        kinds[short] = items, held
-    return [s for s in [*found, *(Search(items, max_edit) for items, _ in kinds.values())] if s.items]
+        kinds[kind] = items, held
+    return [*found, *(search(kind, items) for kind, (items, _) in kinds.items() if items)]
 
 
-def _report(search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _report(search: Search | Exact) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in K.slices(b.column(1)):
@@ -248,7 +318,7 @@ def _report(search: Search) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
-def _keep(search: Search, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _keep(search: Search | Exact, column: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             clean = np.ones(b.num_rows, bool)

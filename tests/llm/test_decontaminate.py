@@ -79,9 +79,9 @@ def test_edge_cases(spark, messy, nothing):
     w = words(1, 80)
     bench = spark.createDataFrame([(1, " ".join(w[20:50]), "x"), (1, " ".join(w[20:50]), "x"), (2, " ".join(w[20:50]), "x"), (3, None, "x"), (4, "", "x"), (5, "word", "x"), (None, "w1 w2 w3 w4 w5 w6", "x")], "item_id long, text string, edits string")
     found = sorted((r["doc_id"], r["item_id"], r["position"], r["edits"]) for r in D.contaminated(messy, bench).collect())
-    assert found == [(5, 1, 20, 0), (5, 2, 20, 0)]
+    assert found == [(5, 1, 20, 0), (5, 2, 20, 0), (6, 5, 0, 0)]
     kept = D.decontaminate(messy, bench)
-    assert kept.columns == messy.columns and kept.count() == messy.count() - 2
+    assert kept.columns == messy.columns and kept.count() == messy.count() - 3
     empty = bench.limit(0)
     assert D.decontaminate(messy, empty).count() == messy.count() and D.contaminated(messy, empty).count() == 0
     assert D.contaminated(nothing, bench).count() == 0 and D.decontaminate(nothing, bench).count() == 0
@@ -95,3 +95,26 @@ def test_whole_texts(spark):
     row = D.contaminated(docs, bench).first()
     assert row["position"] == 50_000 and row["edits"] == 0
     assert pa.array([text])  # beyond one slice
+
+
+def test_items_of_one_to_four_words(spark):
+    """No edit is allowed: their words in a row, wherever; against a plain search."""
+    items = {n * 10 + k: words(n * 10 + k, n, 60) for n in (1, 2, 3, 4) for k in range(3)}
+    docs = [(i, " ".join(words(100 + i, 30, 60))) for i in range(80)] + [(80, " ".join(items[40])), (81, ""), (82, " ".join(items[42][:3]))]
+    truth = {}
+    for i, text in docs:
+        w = text.split()
+        for item, own in items.items():
+            at = [k for k in range(len(w) - len(own) + 1) if w[k : k + len(own)] == own]
+            if at:
+                truth[i, item] = at[0], 0
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): (r["position"], r["edits"]) for r in D.contaminated(frame, bench).collect()}
+    assert found == truth and {len(items[i]) for _, i in found} == {1, 2, 3, 4}
+    assert {r["doc_id"] for r in D.decontaminate(frame, bench).collect()} == {i for i, _ in docs} - {i for i, _ in truth}
+
+
+def test_tables_follow_from_the_recall():
+    assert [D.tables_for(18, 4, 0.2, r) for r in (0.7, 0.9, 0.95)] == sorted({D.tables_for(18, 4, 0.2, r) for r in (0.7, 0.9, 0.95)})
+    assert D.tables_for(18, 4, 0.0) == 1
