@@ -209,20 +209,21 @@ def estimates(rows: DataFrame, steps: int = STEPS, coverage: float = COVERAGE) -
 def shrunk(groups: DataFrame, fitted: DataFrame, prior: float = PRIOR_ROWS) -> DataFrame:
     """key, mean, inverse of each of groups(key, wide): its estimate averaged with its language's (wide), that with the corpus's ({})."""
     wide = lambda c, k: fitted.select(F.col("key").alias(k), *[F.col(x).alias(f"{x}{c}") for x in ("n", "mean", "scatter")])
-    rows = groups.withColumn("all", F.lit("{}")).join(wide(0, "all"), "all").join(wide(1, "wide"), "wide").join(wide(2, "key"), "key")
+    rows = groups.join(wide(1, "wide"), "wide").join(wide(2, "key"), "key")
+    corpus = fitted.where("key = '{}'").first()  # one row, or none of an empty table
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for r in part.to_dict("records"):
-                mean, scatter = np.array(r["mean0"]), np.array(r["scatter0"])
+                mean, scatter = np.array(corpus["mean"]), np.array(corpus["scatter"])
                 for c in (1, 2):
                     own = r[f"n{c}"] / (r[f"n{c}"] + prior)
                     mean, scatter = own * np.array(r[f"mean{c}"]) + (1 - own) * mean, own * np.array(r[f"scatter{c}"]) + (1 - own) * scatter
                 out.append((r["key"], mean.tolist(), _inverse(scatter.reshape(len(mean), -1))[0].ravel().tolist()))
             yield pd.DataFrame(out, columns=["key", "mean", "inverse"])
 
-    return cut(rows.select("key", *[f"{x}{c}" for c in range(3) for x in ("n", "mean", "scatter")]).mapInPandas(run, "key string, mean array<double>, inverse array<double>"))
+    return cut(rows.select("key", *[f"{x}{c}" for c in (1, 2) for x in ("n", "mean", "scatter")]).mapInPandas(run, "key string, mean array<double>, inverse array<double>"))
 
 
 def judge(docs: DataFrame, prior: float = PRIOR_ROWS, cutoff: float = CUTOFF) -> DataFrame:
