@@ -23,15 +23,28 @@ def found_events(events: DataFrame, hits: DataFrame, tol_s: float = 0.0, keys: t
     Both sides meet by key and coarse time cell (as wide as the longest typical event: an hour), so no range join
     compares all pairs of a key.
     """
-    width = 3600.0
-    cell = lambda c: F.floor(c / width)
-    e = events.withColumn("__eid", F.struct(*keys, "event"))
-    spread = e.select(*keys, "event", (F.col("t_start") - tol_s).alias("lo"), (F.col("t_end") + tol_s).alias("hi")).withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
-    h = hits.select(*keys, F.col("ts").alias("hit")).withColumn("cell", cell(F.col("hit")))
-    met = spread.join(h, [*keys, "cell"]).where(F.col("hit").between(F.col("lo"), F.col("hi"))).select(*keys, "event").distinct().withColumn("found", F.lit(True))
+    met = _within(events, hits.select(*keys, F.col("ts").alias("hit")), tol_s, keys).select(*keys, "event").distinct().withColumn("found", F.lit(True))
     return events.join(met, [*keys, "event"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
+def _within(events: DataFrame, hits: DataFrame, tol_s: float, keys: tuple[str, ...], start: str = "t_start", end: str = "t_end", width: float = 3600.0) -> DataFrame:
+    """keys, event with each row of hits(keys, hit, ...) in [start - tol, end + tol]; joined by key and time cell."""
+    cell = lambda c: F.floor(c / width)
+    spread = events.select(*keys, "event", (F.col(start) - tol_s).alias("lo"), (F.col(end) + tol_s).alias("hi")).withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi")))))
+    return spread.join(hits.withColumn("cell", cell(F.col("hit"))), [*keys, "cell"]).where(F.col("hit").between(F.col("lo"), F.col("hi"))).drop("lo", "hi", "cell")
+
+
+def closed_slice(spans: DataFrame, frames: DataFrame, keys: tuple[str, ...] = ("video",), width: float = 60.0) -> DataFrame:
+    """spans(keys, event, t_start, t_end) with each frame(keys, hit, ...) from the start to the end, both inclusive: a frame on a border is in both its spans."""
+    return _within(spans, frames, 0.0, keys, width=width)
+
+
+def runs_above(scores: DataFrame, share: float, gap_s: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Events of the scores above their key's percentile `share` (interpolated), as `events_from_scores`."""
+    edge = scores.groupBy(*keys).agg(F.percentile("score", share).alias("__edge"))
+    return events_from_scores(scores.join(edge, list(keys)).withColumn("score", F.col("score") - F.col("__edge")), 0.0, gap_s, 1, keys).drop("peak")
+
+
 def event_recall(events: DataFrame, hits: DataFrame, tol_s: float = 0.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """keys, event_recall, n_events. Keys without events have no row: their recall is undefined."""
     return found_events(events, hits, tol_s, keys).groupBy(*keys).agg(F.avg(F.col("found").cast("double")).alias("event_recall"), F.count("*").alias("n_events"))
@@ -43,9 +56,11 @@ def frame_recall(positives: DataFrame, hits: DataFrame, keys: tuple[str, ...] =
     return positives.join(hit, [*keys, "frame_idx"], "left").groupBy(*keys).agg((F.count("hit") / F.count("*")).alias("frame_recall"))
 
 
-def nearest(wanted: DataFrame, table: DataFrame, keys: tuple[str, ...], tolerance: float | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+def nearest(wanted: DataFrame, table: DataFrame, keys: tuple[str, ...], tolerance: float | None = None, columns: tuple[str, ...] = (), side: str = "both") -> DataFrame:
     """wanted(keys, ts) with the nearest row of table(keys, ts) as near_ts (and columns as near_*); equally near: the later.
 
+    side "forward" takes the first row at or after ts only.
+
     One union and two running windows: the last row before and the first after, no pairs. Beyond the tolerance: nulls.
     """
     right = table.select(*keys, "ts", F.struct(F.col("ts").alias("ts"), *columns).alias("r")).withColumn("side", F.lit(0))
@@ -56,7 +71,7 @@ def nearest(wanted: DataFrame, table: DataFrame, keys: tuple[str, ...], toleranc
     after = F.first("r", ignorenulls=True).over(w.orderBy("ts", F.desc("side")).rowsBetween(0, Window.unboundedFollowing))
     seen = both.withColumns({"b": before, "a": after}).where("side = 1")
     take_left = F.col("a").isNull() | (F.abs(F.col("b.ts") - F.col("ts")) < F.abs(F.col("a.ts") - F.col("ts")))
-    pick = F.when(take_left, F.col("b")).otherwise(F.col("a"))
+    pick = F.when(take_left, F.col("b")).otherwise(F.col("a")) if side == "both" else F.col("a")
     if tolerance is not None:
         pick = F.when(F.abs(pick["ts"] - F.col("ts")) <= tolerance, pick)
     return seen.withColumn("p", pick).select("w.*", F.col("p.ts").alias("near_ts"), *[F.col(f"p.{c}").alias(f"near_{c}") for c in columns])
@@ -94,8 +109,7 @@ def depth_to_first_hit(ranked: DataFrame, keys: tuple[str, ...] = KEYS, threshol
 
 def best_rank_per_event(events: DataFrame, ranked: DataFrame, slack: float = 1e-6, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Each event with best_rank, the least rank of a frame within it."""
-    joined = events.join(ranked.select(*keys, F.col("ts").alias("rts"), "rank"), list(keys))
-    inside = joined.where(F.col("rts").between(F.col("t_start") - slack, F.col("t_end") + slack))
+    inside = _within(events, ranked.select(*keys, F.col("ts").alias("hit"), "rank"), slack, keys)
     return inside.groupBy(*keys, "event").agg(F.min("rank").alias("best_rank"))
 
 

@@ -6,16 +6,18 @@ one task, videos run side by side.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import dot, normalised
-
-#: Query vectors are broadcast up to so many, counted first.
-BROADCAST_QUERIES = 10_000
-
+from .arrow import BROADCAST_QUERIES, emitted, folded, products
 
 def by_time(*keys: str):
     return Window.partitionBy(*(keys or ("video",))).orderBy("frame_idx")
@@ -37,8 +39,7 @@ def query_vector(values: list[float], dim: int) -> list[float]:
 
 def similarity(frames: DataFrame, queries: DataFrame) -> DataFrame:
     """Every frame's score against every query(query_id, q): the frame columns without emb, query_id, sim."""
-    rest = [c for c in frames.columns if c != "emb"]
-    return frames.crossJoin(checked_queries(queries)).select("query_id", *rest, dot("emb", "q").alias("sim"))
+    return products(frames, queries)
 
 
 def adjacent_similarity(frames: DataFrame) -> DataFrame:
@@ -76,12 +77,15 @@ def segments(frames: DataFrame) -> DataFrame:
     return g.agg(F.min("frame_idx").alias("frame_start"), (F.max("frame_idx") + 1).alias("frame_end"), F.min("ts").alias("t_start"), F.max("ts").alias("t_end"), F.count("*").alias("n_frames"))
 
 
+def mean_vector(column: str) -> Column:
+    """Aggregate: the mean of the vectors, as array<double>; summed before the shuffle."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.transform(column, lambda x: x.cast("double")))))
+
+
 def segment_representatives(frames: DataFrame, eps: float = 1e-8) -> DataFrame:
     """video, seg_id, rep: the mean vector of a segment, scaled to length 1."""
-    dims = frames.select("video", "seg_id", F.posexplode("emb").alias("dim", "x"))
-    means = dims.groupBy("video", "seg_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    reps = means.groupBy("video", "seg_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    return reps.select("video", "seg_id", normalised(F.col("v.x"), eps).alias("rep"))
+    means = frames.where("emb is not null").groupBy("video", "seg_id").agg(mean_vector("emb").alias("v"))
+    return means.select("video", "seg_id", normalised("v", eps).alias("rep"))
 
 
 def first_of_segments(frames: DataFrame) -> DataFrame:
@@ -93,20 +97,26 @@ def first_of_segments(frames: DataFrame) -> DataFrame:
 def greedy_segments(frames: DataFrame, tau: float) -> DataFrame:
     """video, frame_idx, ts, seg_id: a frame joins the current segment if its similarity to the normalised sum of that segment reaches tau.
 
-    tau <= 0 makes each frame a segment. Sequential in a video by definition, so a grouped map: one video is one task.
+    tau <= 0 makes each frame a segment. Sequential in a video by definition: a fold over its sorted frames.
     """
     if tau <= 0:
         return frames.select("video", "frame_idx", "ts", (F.row_number().over(by_time()) - 1).cast("int").alias("seg_id"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame_idx")
-        ids, state = [], None
-        for e in part["emb"]:
-            state, seg = greedy_step(state, np.asarray(e, float), tau)
-            ids.append(seg)
-        return part[["video", "frame_idx", "ts"]].assign(seg_id=np.array(ids, np.int32))
+    schema = pa.schema([("video", pa.string()), ("frame_idx", pa.int32()), ("ts", pa.float64()), ("seg_id", pa.int32())])
+
+    def run(stretches: Iterator) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            last = state = None
+            for key, c in stretches:
+                state, last = state if key == last else None, key
+                for video, frame, ts, e in zip(c["video"], c["frame_idx"], c["ts"], c["emb"]):
+                    state, seg = greedy_step(state, np.asarray(e, float), tau)
+                    yield video, frame, ts, seg
 
-    return frames.select("video", "frame_idx", "ts", "emb").groupBy("video").applyInPandas(run, "video string, frame_idx int, ts double, seg_id int")
+        yield from emitted(schema, rows())
+
+    narrow = frames.select(F.col("video").cast("string").alias("video"), F.col("frame_idx").cast("int").alias("frame_idx"), F.col("ts").cast("double").alias("ts"), "emb")
+    return folded(narrow, ("video",), ["frame_idx"], run, "video string, frame_idx int, ts double, seg_id int")
 
 
 def greedy_step(state: tuple[np.ndarray, int] | None, e: np.ndarray, tau: float) -> tuple[tuple[np.ndarray, int], int]:
@@ -122,17 +132,26 @@ def greedy_step(state: tuple[np.ndarray, int] | None, e: np.ndarray, tau: float)
 def gated(samples: DataFrame, value: str, tau: float, keys: tuple[str, ...] = ("video",)) -> DataFrame:
     """Samples with kept: the first, and each whose value differs from the last kept one's by tau or more.
 
-    An ordered fold over each key's samples; `value` is a number (the mean difference of thumbnails, a signal).
+    A fold over each key's sorted samples that holds the last kept value only; `value` is a number (the mean difference of thumbnails, a signal).
     """
-    rows = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ts", "frame_idx", F.col(value).cast("double").alias("v")))).alias("rows"))
-
-    def step(state: Column, r: Column) -> Column:
-        kept = state["last"].isNull() | (F.abs(r["v"] - state["last"]) >= tau)
-        return F.struct(F.when(kept, r["v"]).otherwise(state["last"]).alias("last"), F.concat(state["out"], F.array(F.struct(r["ts"].alias("ts"), r["frame_idx"].alias("frame_idx"), r["v"].alias(value), kept.alias("kept")))).alias("out"))
-
-    zero = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast(f"array<struct<ts:double,frame_idx:bigint,{value}:double,kept:boolean>>").alias("out"))
-    typed = rows.withColumn("rows", F.transform("rows", lambda r: F.struct(r["ts"].cast("double").alias("ts"), r["frame_idx"].cast("bigint").alias("frame_idx"), r["v"].alias("v"))))
-    return typed.select(*keys, F.explode(F.aggregate("rows", zero, step)["out"]).alias("r")).select(*keys, "r.*")
+    typed = samples.select(*keys, F.col("ts").cast("double").alias("ts"), F.col("frame_idx").cast("bigint").alias("frame_idx"), F.col(value).cast("double").alias(value))
+
+    def run(stretches: Iterator) -> Iterator[pa.RecordBatch]:
+        owner = last = None
+        for key, c in stretches:
+            if key != owner:
+                owner, last = key, None
+            kept = []
+            for v in c[value]:
+                # a null value is kept only where nothing was before it
+                keep = last is None or (v is not None and abs(v - last) >= tau)
+                last = v if keep else last
+                kept.append(keep)
+            c["kept"] = kept
+            yield pa.RecordBatch.from_pydict(c, schema=to_arrow_schema(schema))
+
+    schema = typed.withColumn("kept", F.lit(True)).schema
+    return folded(typed, keys, ["ts", "frame_idx"], run, schema)
 
 
 def filled(samples: DataFrame, value: str, keys: tuple[str, ...] = ("video",)) -> DataFrame:
@@ -143,9 +162,22 @@ def filled(samples: DataFrame, value: str, keys: tuple[str, ...] = ("video",)) -
 
 def sampled(frames: DataFrame, fps: float) -> DataFrame:
     """The first frame, then each at least 1 / fps after the last kept: true times, not a grid."""
-    rows = frames.groupBy("video").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("double").alias("ts"), F.col("frame_idx").cast("bigint").alias("frame_idx")))).alias("rows"))
-    kept = F.aggregate("rows", F.array().cast("array<struct<ts:double,frame_idx:bigint>>"), lambda out, r: F.when((F.size(out) == 0) | (r["ts"] - F.element_at(out, -1)["ts"] >= 1 / fps), F.concat(out, F.array(r))).otherwise(out))
-    return rows.select("video", F.explode(kept).alias("r")).select("video", "r.*")
+    typed = frames.select("video", F.col("ts").cast("double").alias("ts"), F.col("frame_idx").cast("bigint").alias("frame_idx"))
+
+    def run(stretches: Iterator) -> Iterator[pa.RecordBatch]:
+        owner = last = None
+        for key, c in stretches:
+            if key != owner:
+                owner, last = key, None
+            picked = []
+            for k, t in enumerate(c["ts"]):
+                if last is None or t - last >= 1 / fps:
+                    last = t
+                    picked.append(k)
+            yield pa.RecordBatch.from_pydict({x: [v[k] for k in picked] for x, v in c.items()}, schema=to_arrow_schema(schema))
+
+    schema = typed.schema
+    return folded(typed.where("ts is not null"), ("video",), ["ts", "frame_idx"], run, schema)
 
 
 def smoothed(scored: DataFrame, width: int, kind: str = "box", keys: tuple[str, ...] = ("video",)) -> DataFrame:
@@ -175,9 +207,8 @@ def feedback(frames: DataFrame, queries: DataFrame, k: int, weight: float) -> Da
     """Pseudo-relevance feedback: queries(query_id, q) moved towards the mean of their k best frames, length 1."""
     scored = similarity(frames, queries).select("query_id", "video", "frame_idx", "sim")
     best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "video", "frame_idx"))).where(F.col("n") <= k)
-    dims = frames.join(best.select("query_id", "video", "frame_idx"), ["video", "frame_idx"]).select("query_id", F.posexplode("emb").alias("dim", "x"))
-    means = dims.groupBy("query_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("x")).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("v"))
-    moved = queries.join(means, "query_id").select("query_id", F.zip_with("q", F.col("v.x"), lambda a, b: a.cast("double") * (1 - weight) + b * weight).alias("q"))
+    means = frames.join(best.select("query_id", "video", "frame_idx"), ["video", "frame_idx"]).groupBy("query_id").agg(mean_vector("emb").alias("v"))
+    moved = queries.join(means, "query_id").select("query_id", F.zip_with("q", "v", lambda a, b: a.cast("double") * (1 - weight) + b * weight).alias("q"))
     return moved.select("query_id", normalised("q").alias("q"))
 
 

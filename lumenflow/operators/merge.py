@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .arrow import emitted, folded
+
 HITS = "query_id string, time double, score double, source string, text string, vlm_score double"
 
 
@@ -58,30 +63,45 @@ def merge(ranked: DataFrame, k: int, gap_s: float = 10.0) -> DataFrame:
     At most sources * k rows of a query meet in one task.
     """
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []
-        for hit in part.sort_values(["rank", "time", "source"], kind="stable").itertuples():
-            for g in groups:
-                if all(o.source != hit.source for o in g) and any(abs(o.time - hit.time) <= gap_s for o in g):
-                    g.append(hit)
-                    break
-            else:
-                groups.append([hit])
-        out = []
+    names = ("rank", "time", "score", "source", "text", "vlm_score")
+
+    def run(stretches: Iterator) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            owner, held = None, []
+            for key, c in chain(stretches, [(None, {n: [] for n in names})]):
+                if key != owner and held:
+                    for place, row in enumerate(_merged(held, k, gap_s), 1):
+                        yield owner[0], place, *row
+                if key != owner:
+                    owner, held = key, []
+                held.extend(zip(*(c[n] for n in names)))
+
+        yield from emitted(_MERGED, rows())
+
+    typed = ranked.select(F.col("query_id").cast("string").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("time").cast("double").alias("time"), F.col("score").cast("double").alias("score"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), F.col("vlm_score").cast("double").alias("vlm_score"))
+    return folded(typed, ("query_id",), ["rank", "time", "source"], run, "query_id string, rank int, time double, score double, source string, text string, vlm_score double")
+
+
+_MERGED = pa.schema([("query_id", pa.string()), ("rank", pa.int32()), ("time", pa.float64()), ("score", pa.float64()), ("source", pa.string()), ("text", pa.string()), ("vlm_score", pa.float64())])
+
+
+def _merged(hits: list[tuple], k: int, gap_s: float) -> list[tuple]:
+    """(time, score, sources, text, expert score) of the k best groups of one query's hits (rank, time, score, source, text, expert score), in order."""
+    groups: list[list[tuple]] = []
+    for hit in hits:
         for g in groups:
-            names = sorted({o.source for o in g})
-            lead = min(g, key=lambda o: o.rank)
-            visual = next((o for o in g if o.source == "visual"), None)
-            face = visual or lead
-            text = next((o.text for o in g if isinstance(o.text, str) and o.text), None)
-            out.append((lead.rank - (len(names) - 1), face.time, face.score, "+".join(names), text, visual.vlm_score if visual else None))
-        out = sorted(out, key=lambda r: r[0])[:k]
-        frame = pd.DataFrame([r[1:] for r in out], columns=["time", "score", "source", "text", "vlm_score"])
-        frame["vlm_score"] = pd.to_numeric(frame["vlm_score"])
-        return frame.assign(query_id=part["query_id"].iloc[0], rank=range(1, len(out) + 1))[["query_id", "rank", "time", "score", "source", "text", "vlm_score"]]
-
-    typed = ranked.select(F.col("query_id").cast("string").alias("query_id"), "rank", F.col("time").cast("double").alias("time"), F.col("score").cast("double").alias("score"), "source", F.col("text").cast("string").alias("text"), F.col("vlm_score").cast("double").alias("vlm_score"))
-    return typed.groupBy("query_id").applyInPandas(run, "query_id string, rank int, time double, score double, source string, text string, vlm_score double")
+            if all(o[3] != hit[3] for o in g) and any(abs(o[1] - hit[1]) <= gap_s for o in g):
+                g.append(hit)
+                break
+        else:
+            groups.append([hit])
+    out = []
+    for g in groups:
+        names, lead = sorted({o[3] for o in g}), min(g, key=lambda o: o[0])
+        visual = next((o for o in g if o[3] == "visual"), None)
+        face = visual or lead
+        out.append((lead[0] - (len(names) - 1), face[1], face[2], "+".join(names), next((o[4] for o in g if o[4]), None), visual[5] if visual else None))
+    return [r[1:] for r in sorted(out, key=lambda r: r[0])[:k]]
 
 
 def above(hits: DataFrame, threshold: float, confirmed: bool) -> DataFrame:

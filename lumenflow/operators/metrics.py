@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import chain
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import iou
+from .arrow import emitted, folded
 
 IOU_THRESHOLD = 0.3
+#: Parts in which the points of a key are folded first.
+PARTS = 32
 
 
 def overlaps(start: Column, end: Column, truths: Column | str, threshold: float = IOU_THRESHOLD) -> Column:
@@ -98,10 +106,49 @@ def log_correlation(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.where((F.col(a) > 0) & (F.col(b) > 0)).agg(F.coalesce(F.nanvl(F.corr(F.ln(a), F.ln(b)), F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
+def hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """The upper concave envelope of points by rising x: no chord of two others passes above one of it."""
+    out: list[tuple[float, float]] = []
+    for x, y in points:
+        if out and out[-1][0] == x:
+            if y <= out[-1][1]:
+                continue
+            out.pop()
+        while len(out) > 1 and out[-1][1] < out[-2][1] + (y - out[-2][1]) * (out[-1][0] - out[-2][0]) / (x - out[-2][0]):
+            out.pop()
+        out.append((x, y))
+    return out
+
+
 def envelope(curve: DataFrame, keys: tuple[str, ...], cost: str = "cost", gain: str = "gain") -> DataFrame:
-    """The upper concave envelope of each key's (cost, gain) points, as the points on it: no two others' chord passes above one."""
-    x, y = F.col(cost), F.col(gain)
-    p = curve.select(*keys, x.cast("double").alias("x"), y.cast("double").alias("y"))
-    l, r = p.toDF(*keys, "lx", "ly"), p.toDF(*keys, "rx", "ry")
-    under = p.join(l, list(keys)).join(r, list(keys)).where("lx <= x and rx >= x and lx < rx and y < ly + (ry - ly) * (x - lx) / (rx - lx)")
-    return p.join(under.select(*keys, "x", "y").distinct(), [*keys, "x", "y"], "left_anti").withColumnsRenamed({"x": cost, "y": gain})
+    """The upper concave envelope of each key's (cost, gain) points, as the distinct points on it.
+
+    A fold over the sorted points. The envelope of parts' envelopes is the envelope of all, so a key's points are first
+    folded in PARTS parts and no key, however many points it has, is one task's work.
+    """
+    p = curve.select(*keys, F.col(cost).cast("double").alias("x"), F.col(gain).cast("double").alias("y")).where("x is not null and y is not null").distinct()
+    for key in ((*keys, "part"), keys):
+        names = [*key, "x", "y"]
+        rows = (p.withColumn("part", F.pmod(F.xxhash64("x", "y"), F.lit(PARTS)).cast("int")) if "part" in key else p).select(*names)
+        if not key:
+            rows, key, names = rows.withColumn("part", F.lit(0)), ("part",), [*names, "part"]
+        p = folded(rows, key, ["x", "y"], _hulls(key, to_arrow_schema(rows.schema)), rows.schema).select(*keys, "x", "y")
+    return p.withColumnsRenamed({"x": cost, "y": gain})
+
+
+def _hulls(key: tuple[str, ...], schema: pa.Schema) -> Callable[[Iterator], Iterator[pa.RecordBatch]]:
+    def run(stretches: Iterator) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            owner, held = None, []
+            for of, c in chain(stretches, [(None, {"x": [], "y": []})]):
+                if of != owner:
+                    for x, y in held:
+                        row = {**dict(zip(key, owner)), "x": x, "y": y}
+                        yield tuple(row[n] for n in schema.names)
+                    owner, held = of, []
+                held = hull(held + list(zip(c["x"], c["y"])))
+
+        yield from emitted(schema, rows())
+
+    return run
+

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.vectors import bound, power_mean, topk_mean
 
 EMPTY = -1e9
+#: Sums that a bootstrap task holds before it sends them on.
+HELD_SUMS = 1 << 22
 GRID = tuple(sorted({2**i for i in range(6)} | {3 * 2**i for i in range(4)}))
 
 
@@ -130,21 +137,56 @@ def confidence(chunk_scores: DataFrame, keys: tuple[str, ...] = ("query_id", "vi
 def bootstrap(values: DataFrame, column: str, n_boot: int = 1000, seed: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, mean, low, high: a mean with its 95 % percentile interval over `n_boot` resamples; nulls and NaN are out.
 
-    Poisson bootstrap: every row draws its weight in each resample from a hash, so resampling is one aggregation and
-    its result doesn't depend on partitions or order.
+    Poisson bootstrap: every row draws its weight in each resample from a hash, so its result doesn't depend on
+    partitions or order. Weights are made a batch at a time and summed before the shuffle: a partition sends `n_boot`
+    pairs of sums for each of its keys.
     """
     good = values.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
-    boots = good.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("__b"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("__b"), *[F.col(c) for c in good.columns]), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
-    # quantiles of Poisson(1)
-    steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u > float(s)).cast("int")
-    draws = good.crossJoin(F.broadcast(boots)).withColumn("__w", weight).groupBy("__b", *keys).agg((F.sum(F.col("__w") * F.col(column)) / F.sum("__w")).alias("m"))
+    own = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in good.columns])
+    rows = good.select(*keys, F.col(column).cast("double").alias("__v"), own.alias("__h"))
+    steps = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040)])  # quantiles of Poisson(1)
+    schema = to_arrow_schema(rows.select(*keys).schema).append(pa.field("b", pa.int32())).append(pa.field("x", pa.float64())).append(pa.field("w", pa.int64()))
+    shift = _mixed(np.arange(1, n_boot + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, (x, w) in held.items():
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * n_boot, f.type) for v, f in zip(key, schema)), pa.array(np.arange(n_boot, dtype=np.int32)), pa.array(x), pa.array(w)], schema=schema)
+            held.clear()
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                part = whole.slice(start, step)
+                v, h = part.column(len(keys)).to_numpy(zero_copy_only=False), part.column(len(keys) + 1).to_numpy(zero_copy_only=False).view(np.uint64)
+                w = np.searchsorted(steps, (_mixed(h[:, None] ^ shift[None, :]) >> np.uint64(11)) / float(1 << 53))
+                of = list(zip(*(part.column(k).to_pylist() for k in range(len(keys))))) if keys else [()] * len(v)
+                places: dict[tuple, list[int]] = {}
+                for at, key in enumerate(of):
+                    places.setdefault(key, []).append(at)
+                for key, at in places.items():
+                    total = held.setdefault(key, [np.zeros(n_boot), np.zeros(n_boot, np.int64)])
+                    total[0] += v[at] @ w[at]
+                    total[1] += w[at].sum(axis=0)
+                if len(held) * n_boot > HELD_SUMS:
+                    yield from flush()
+        yield from flush()
+
+    step = max(1, (1 << 20) // n_boot)
+    kinds = StructType([*rows.select(*keys).schema, StructField("b", IntegerType()), StructField("x", DoubleType()), StructField("w", LongType())])
+    draws = rows.mapInArrow(run, kinds).groupBy("b", *keys).agg((F.sum("x") / F.sum("w")).alias("m"))
     bounds = draws.groupBy(*keys).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
     means = good.groupBy(*keys).agg(F.avg(column).alias("mean"))
-    return means.join(bounds, list(keys)) if keys else means.crossJoin(bounds)
+    return means.join(bounds, list(keys)) if keys else means.crossJoin(F.broadcast(bounds))  # one row each
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """splitmix64's finaliser."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def paired_bootstrap(values: DataFrame, a: str, b: str, **options) -> DataFrame:

@@ -65,9 +65,10 @@ def nearest_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.nearest(_wanted(spark, sf_dir, "click"), _wanted(spark, sf_dir, "view").select("video", "ts"), ("video",)).select("video", "event_id", "near_ts")
 
 
-@query(f"WITH {WANTED}, c AS (SELECT wanted.video, event_id, tbl.ts AS near_ts, abs(tbl.ts - wanted.ts) AS d, row_number() OVER (PARTITION BY wanted.video, event_id ORDER BY abs(tbl.ts - wanted.ts), tbl.ts DESC) AS rn FROM wanted JOIN tbl ON tbl.video = wanted.video) SELECT wanted.video, wanted.event_id, CASE WHEN d <= 3600 THEN near_ts END AS near_ts FROM wanted LEFT JOIN c ON c.video = wanted.video AND c.event_id = wanted.event_id AND rn = 1")
+@query(f"WITH {WANTED} SELECT wanted.video, wanted.event_id, CASE WHEN tbl.ts - wanted.ts <= 3600 THEN tbl.ts END AS near_ts FROM wanted ASOF LEFT JOIN tbl ON wanted.video = tbl.video AND wanted.ts <= tbl.ts")
 def nearest_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.nearest(_wanted(spark, sf_dir, "click"), _wanted(spark, sf_dir, "view").select("video", "ts"), ("video",), 3600.0).select("video", "event_id", "near_ts")
+    """The next frame only, if it is within the tolerance."""
+    return ev.nearest(_wanted(spark, sf_dir, "click"), _wanted(spark, sf_dir, "view").select("video", "ts"), ("video",), 3600.0, side="forward").select("video", "event_id", "near_ts")
 
 
 @query(f"WITH {WANTED} SELECT wanted.video, wanted.event_id, tbl.ts AS at FROM wanted ASOF LEFT JOIN tbl ON wanted.video = tbl.video AND wanted.ts >= tbl.ts")
@@ -237,3 +238,28 @@ def log_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunk_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ad.table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(chunk_list(F.abs("s_acctbal") / 100, 7.5)).alias("c"))
     return s.select("s_suppkey", "c.chunk", "c.t_start", "c.t_end")
+
+
+@query(
+    """WITH s AS (SELECT user_id AS video, event_type AS query_id, epoch_us(ts) / 1e6 AS ts, value FROM events),
+    e AS (SELECT video, query_id, quantile_cont(value, 0.75) AS edge FROM s GROUP BY ALL),
+    h AS (SELECT s.video, s.query_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY s.video, s.query_id ORDER BY ts) <= 86400 THEN 0 ELSE 1 END AS new FROM s JOIN e ON e.video = s.video AND e.query_id = s.query_id WHERE value > edge),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY video, query_id ORDER BY ts) AS event FROM h)
+    SELECT video, query_id, min(ts) AS t_start, max(ts) AS t_end, count(*) AS n_frames FROM r GROUP BY video, query_id, event"""
+)
+def runs_above_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ad.scores(spark, sf_dir).withColumn("score", F.col("score") + 50)
+    return ev.runs_above(s, 0.75, 86400.0).select("video", "query_id", "t_start", "t_end", "n_frames")
+
+
+@query(
+    """WITH c AS (SELECT 'v' || label AS video, CAST(vec_id AS DOUBLE) AS ts FROM embeddings), n AS (SELECT video, CAST(floor(max(ts) / 25) AS INT) AS last FROM c GROUP BY video),
+    k AS (SELECT video, CAST(i AS INT) AS chunk FROM n, generate_series(0, 1000) AS g(i) WHERE i <= last)
+    SELECT k.video, k.chunk, count(*) AS n_frames, min(ts) AS first_ts, max(ts) AS last_ts FROM k JOIN c ON c.video = k.video AND ts BETWEEN 25 * chunk AND 25 * (chunk + 1) GROUP BY ALL"""
+)
+def closed_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of each chunk with both its borders."""
+    f = ad.collection(spark, sf_dir).select("video", F.col("ts").alias("hit"))
+    chunks = f.groupBy("video").agg(F.floor(F.max("hit") / 25).cast("int").alias("last")).select("video", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("event"))
+    spans = chunks.select("video", "event", (F.col("event") * 25.0).alias("t_start"), (F.col("event") * 25.0 + 25.0).alias("t_end"))
+    return ev.closed_slice(spans, f).groupBy("video", F.col("event").alias("chunk")).agg(F.count("*").alias("n_frames"), F.min("hit").alias("first_ts"), F.max("hit").alias("last_ts"))

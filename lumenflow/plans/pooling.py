@@ -226,11 +226,11 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return po.paired_bootstrap(p, "a", "b", n_boot=100)
 
 
-@query("SELECT CAST(q AS INT) AS questions, round(600.0 / (32 + 600.0 / q), 6) AS dummy FROM (SELECT unnest([1, 10, 100]) AS q)".replace("round(600.0 / (32 + 600.0 / q), 6) AS dummy", "round(1 / (1 / (809.0 * q) + 1 / 507.625), 6) AS speedup"))
+@query("SELECT user_id, count(*) AS questions, round(1 / (1 / (809.0 * count(*)) + 1 / 507.625), 6) AS speedup FROM events GROUP BY user_id")
 def cascade_speedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question amortises the index over all that are asked: 1 / (1 / (R Q) + 1 / F), R the cost ratio, F frames for each expert call."""
-    q = spark.createDataFrame([(1,), (10,), (100,)], "questions int")
-    return q.select("questions", F.round(1 / (1 / (F.lit(809.0) * F.col("questions")) + 1 / F.lit(507.625)), 6).alias("speedup"))
+    """A user's questions share one index: 1 / (1 / (R Q) + 1 / F), R the cost ratio, F frames for each expert call."""
+    q = ad.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("questions"))
+    return q.select("user_id", "questions", F.round(1 / (1 / (F.lit(809.0) * F.col("questions")) + 1 / F.lit(507.625)), 6).alias("speedup"))
 
 
 @query("WITH q AS (SELECT quantile_cont(value, [0.25, 0.5, 0.75]) AS e FROM events) SELECT event_id, (value >= e[1])::INT + (value >= e[2])::INT + (value >= e[3])::INT AS bin FROM events, q")

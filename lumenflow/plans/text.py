@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
-from ..functions.vectors import maxsim
 from ..operators import documents as do
+from ..operators import frames as fr
 from ..operators import merge as mg
 from ..operators import metrics as me
 from ..sources import adapters as ad
@@ -60,16 +60,16 @@ def judged_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH t AS (SELECT label, list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS d FROM embeddings GROUP BY label), q AS (SELECT list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id) AS q FROM embeddings WHERE vec_id IN (0, 1, 2, 3))
-    SELECT label, round(list_sum(list_transform(q, lambda a: list_max(list_transform(d, lambda b: list_dot_product(a, b))))), 6) AS score FROM t, q"""
+    """WITH m AS (SELECT q.label AS query_label, q.vec_id AS token, d.label, max(list_dot_product(CAST(d.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) AS s FROM embeddings d, embeddings q WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+    SELECT query_label, label, round(sum(s), 6) AS score FROM m GROUP BY ALL"""
 )
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels as documents of token vectors, four vectors as the query's tokens."""
+    """Labels as documents of token vectors; a query's tokens are a label's vectors whose ids are divisible by 20."""
     e = ad.table(spark, sf_dir, "embeddings")
-    packed = lambda df: F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"])
-    docs = e.groupBy("label").agg(packed(e).alias("d"))
-    q = e.where(F.col("vec_id").isin(0, 1, 2, 3)).agg(packed(e).alias("q"))
-    return docs.crossJoin(F.broadcast(q)).select("label", F.round(maxsim("q", "d"), 6).alias("score"))  # one row
+    tokens = e.select("label", F.col("embedding").alias("emb"))
+    queries = e.where(F.col("vec_id") % 20 == 0).select(F.struct("label", "vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    best = fr.similarity(tokens, queries).groupBy(F.col("query_id.label").alias("query_label"), "query_id.vec_id", "label").agg(F.max("sim").alias("s"))
+    return best.groupBy("query_label", "label").agg(F.round(F.sum("s"), 6).alias("score"))
 
 
 @query("SELECT conv_id, turn, rtrim(text) LIKE '%?' AS question, regexp_matches(lower(text), '\\b(how many|how often|count|number of|total|overall|summar|main topic|mainly|throughout|in general|average|most of|all of|order of|sequence|entire)') AS aggregate FROM conversations")

@@ -20,9 +20,9 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.concat(F.lit("v"), F.col("label").cast("string")).alias("video"), F.col("vec_id").cast("int").alias("frame_idx"), F.col("vec_id").cast("double").alias("ts"), F.col("embedding").alias("emb"))
 
 
-def queries(spark: SparkSession, sf_dir: str, ids: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
-    """The vectors of some rows as queries: what a caller would ask, not a part of the table searched."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("q"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20 as a query against all rows."""
+    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").cast("int").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:

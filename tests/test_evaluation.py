@@ -153,3 +153,39 @@ def test_merging_shards(spark):
     assert tables.merge_shards(a, a, ("video", "query_id", "frame_idx"), 1e-6).count() == 20
     with pytest.raises(ValueError, match="differ"):
         tables.merge_shards(a, stream(spark, {4}), ("video", "query_id", "frame_idx"), 1e-6)
+
+
+def test_next_frame_only(spark):
+    w = spark.createDataFrame([("v", 5.0), ("v", 9.5)], "video string, ts double")
+    t = spark.createDataFrame([("v", 4.9), ("v", 6.0), ("v", 9.0)], "video string, ts double")
+    near = {r["ts"]: r["near_ts"] for r in ev.nearest(w, t, ("video",), 2.0, side="forward").collect()}
+    assert near == {5.0: 6.0, 9.5: None}
+
+
+def test_a_border_frame_is_in_both_closed_slices(spark):
+    spans = spark.createDataFrame([("v", 0, 0.0, 10.0), ("v", 1, 10.0, 20.0)], "video string, event int, t_start double, t_end double")
+    hits = spark.createDataFrame([("v", x) for x in (0.0, 10.0, 20.0, 20.1)], "video string, hit double")
+    assert sorted((r["event"], r["hit"]) for r in ev.closed_slice(spans, hits).collect()) == [(0, 0.0), (0, 10.0), (1, 10.0), (1, 20.0)]
+
+
+def test_best_ranks_in_cells_against_all_pairs(spark):
+    r = np.random.default_rng(3)
+    events = [("v", "q", k, float(a), float(a + d)) for k, (a, d) in enumerate(zip(r.integers(0, 20_000, 30), r.integers(0, 9_000, 30)))]
+    ranked = [("v", "q", float(t), k + 1) for k, t in enumerate(r.integers(0, 30_000, 200))]
+    want = {e[2]: min((x[3] for x in ranked if e[3] <= x[2] <= e[4]), default=None) for e in events}
+    e, x = spark.createDataFrame(events, "video string, query_id string, event int, t_start double, t_end double"), spark.createDataFrame(ranked, "video string, query_id string, ts double, rank int")
+    assert {r["event"]: r["best_rank"] for r in ev.best_rank_per_event(e, x).collect()} == {k: v for k, v in want.items() if v is not None}
+
+
+def test_envelope_without_keys_and_with_ties(spark):
+    points = [(0.0, 0.0), (1.0, 2.0), (1.0, 1.0), (2.0, 1.0), (3.0, 4.0), (2.0, 3.0), (3.0, 4.0)]
+    p = spark.createDataFrame([("k", *x) for x in points], "k string, cost double, gain double")
+    want = [(0.0, 0.0), (1.0, 2.0), (2.0, 3.0), (3.0, 4.0)]
+    assert sorted((r["cost"], r["gain"]) for r in mt.envelope(p, ("k",)).collect()) == want
+    assert sorted((r["cost"], r["gain"]) for r in mt.envelope(p, ()).collect()) == want
+
+
+def test_bootstrap_by_key(spark):
+    v = spark.createDataFrame([(k, i, float(i % 2 + 10 * k)) for k in range(3) for i in range(200)], "k int, i int, x double")
+    got = {r["k"]: r for r in po.bootstrap(v, "x", 200, keys=("k",)).collect()}
+    assert all(10 * k + 0.4 < got[k]["low"] < got[k]["mean"] == 10 * k + 0.5 < got[k]["high"] < 10 * k + 0.6 for k in range(3))

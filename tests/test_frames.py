@@ -1,10 +1,15 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumenflow.functions.vectors import dot
+from lumenflow.operators import arrow as ar
 from lumenflow.operators import collection as co
 from lumenflow.operators import frames as fr
 from lumenflow.operators import selection as se
+from lumenflow.sources import adapters as ad
 
 
 def blocks(n=240, dim=8, seed=0):
@@ -166,3 +171,37 @@ def test_all_probes_are_exact(frames, queries):
     assert co.overlap(exact, co.approximate_search(index, c, queries, 10, 12, 0)).first()["recall"] == 1.0
     assert co.overlap(exact, co.approximate_search(index, c, queries, 10, 4, 0)).first()["recall"] >= 0.7
     assert index.count() == 240 and co.n_lists(10_000) == 100
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.1"])
+def test_approximate_recall_against_brute_force(spark, folder):
+    path = f"/root/testdata/{folder}"
+    if not os.path.isdir(path):
+        pytest.skip("no tables")
+    f, q = ad.collection(spark, path), ad.queries(spark, path)
+    c = co.centroids(f, co.n_lists(f.count()))
+    index, probes = co.inverted_index(f, c), co.calibrated_probes(f, c)
+    assert index.count() == f.count() and index.where("list_id is null").count() == 0
+    for gap in (0.0, 30.0):
+        found = co.overlap(co.search(f, q, 20, min_gap_s=gap), co.approximate_search(index, c, q, 20, probes, gap))
+        assert found.agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_products_are_the_column_expression(spark, monkeypatch):
+    rows = spark.createDataFrame([("v", 0, [1.0, 2.0]), ("v", 1, None), ("v", 2, [1.0]), ("v", 3, [1.0, None]), ("v", 4, [])], "video string, frame_idx int, emb array<double>")
+    qs = spark.createDataFrame([("a", [3.0, 4.0]), ("b", None), ("c", [2.0])], "query_id string, q array<double>")
+    want = {(r[0], r[1]): r[2] for r in rows.crossJoin(qs).select("query_id", "frame_idx", dot("emb", "q")).collect()}
+    want[("b", 4)] = None
+    got = {(r["query_id"], r["frame_idx"]): r["sim"] for r in fr.similarity(rows, qs).collect()}
+    assert got == want and len(got) == 15
+    monkeypatch.setattr(ar, "BROADCAST_QUERIES", 1)  # in blocks
+    assert {(r["query_id"], r["frame_idx"]): r["sim"] for r in fr.similarity(rows, qs).collect()} == want
+    assert fr.similarity(rows, qs.limit(0)).count() == 0
+
+
+def test_a_capped_fold_is_the_whole_one(spark):
+    r = np.random.default_rng(5)
+    hits = spark.createDataFrame([(f"q{i % 3}", f"v{i % 2}", float(t), float(x)) for i, (t, x) in enumerate(zip(r.integers(0, 500, 400), r.random(400).round(2)))], "query_id string, video string, ts double, sim double")
+    for gap, cap in ((30.0, None), (0.0, None), (0.0, 3), (30.0, 2)):
+        whole = co.collapse(hits, None, gap, cap).where("rank <= 7")
+        assert sorted(map(tuple, co.collapse(hits, 7, gap, cap).collect())) == sorted(map(tuple, whole.collect()))
