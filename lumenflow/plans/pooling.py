@@ -243,7 +243,7 @@ def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH c AS (SELECT user_id, floor(value / 100) AS cost, max(value) AS gain FROM events GROUP BY ALL), p AS (SELECT user_id, cost::DOUBLE AS x, gain AS y FROM c)
-    SELECT user_id, x AS cost, y AS gain FROM p WHERE NOT EXISTS (SELECT 1 FROM p l, p r WHERE l.user_id = p.user_id AND r.user_id = p.user_id AND l.x <= p.x AND r.x >= p.x AND l.x < r.x AND p.y < l.y + (r.y - l.y) * (p.x - l.x) / (r.x - l.x))"""
+    SELECT user_id, x AS cost, y AS gain FROM p WHERE NOT EXISTS (SELECT 1 FROM p l, p r WHERE l.user_id = p.user_id AND r.user_id = p.user_id AND l.x < p.x AND r.x > p.x AND p.y < l.y + (r.y - l.y) * (p.x - l.x) / (r.x - l.x))"""
 )
 def concave_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ad.table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("value") / 100).alias("cost")).agg(F.max("value").alias("gain"))
