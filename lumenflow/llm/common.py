@@ -60,6 +60,15 @@ def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return _by_ids(docs, ids, key, "left_semi")
 
 
+def release() -> None:
+    """Hand freed memory back to the system, which allocators keep otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A mapInArrow function that hands freed memory back when its partition is done: Python workers live on between tasks."""
 
@@ -67,11 +76,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return whole
 

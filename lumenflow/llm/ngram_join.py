@@ -54,6 +54,8 @@ TILE_DOCS = 512
 HOT_DOCS = 50_000
 #: Rows and bytes of text that a worker gathers before it verifies.
 BUFFER_BYTES = 8 << 20
+#: Edges that a task gathers before it contracts them, 100 to 140 bytes each; what contracts to so few settles in one task.
+TASK_EDGES = 2_000_000
 
 SKETCH = pa.schema([("id", pa.int64()), ("node", pa.int64()), ("set_b", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
@@ -303,9 +305,54 @@ def _same_id(sketch: DataFrame, again: DataFrame) -> DataFrame:
     return with_hot(sketch.select("id", "node"), again, "id", "n").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (least node) of every connected node of edges(a, b), by large-star and small-star rounds until they settle."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+def _rooted(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of edges, ascending, and the least node of all that are connected with each."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(u):
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while ((further := root[root]) != root).any():
+            root = further
+        u, v = root[u], root[v]
+        u, v = u[u != v], v[u != v]
+    return nodes, nodes[root]
+
+
+def _contractor(most: int, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges as (node, least node connected with it), as far as `most` edges at once show; with `whole` least nodes have rows too."""
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def contracted() -> tuple[np.ndarray, np.ndarray]:
+            node, root = _rooted(*(np.concatenate(x) for x in zip(*held)))
+            return node[node != root], root[node != root]
+
+        for b in batches:
+            held.append(tuple(b.column(k).to_numpy() for k in (0, 1)))
+            size += b.num_rows
+            if size > most:
+                held = [contracted()]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield batch(schema, *held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(schema, *(_rooted(*(np.concatenate(x) for x in zip(*held))) if whole else contracted()))
+
+    return run
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, root (least node) of every connected node of edges(a, b); checkpointed. Tasks contract the edges they see; of what is left,
+    up to `task_edges` edges settle in one task, more of them by large-star and small-star rounds."""
+    contract = lambda df, whole: cut(df.mapInArrow(lean(_contractor(task_edges, whole)), "u long, v long"))
+    edges = contract(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v"), False)
+    if edges.count() <= task_edges:
+        return contract(edges.coalesce(1), True).toDF("node", "root")
     state = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
@@ -316,7 +363,7 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct())
+            return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v"), F.col("v")).distinct()))
         state = now
 
 
@@ -326,12 +373,12 @@ def duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall
     reps = cut(equal_sets(sketch))
     again = repeated(sketch)
     first = verified(docs, reps, cut(stars(reps, threshold)), n, threshold, forest=True).select("a", "b")
-    roots = cut(components(first.union(_same_id(sketch, again))))
+    roots = components(first.union(_same_id(sketch, again)))
     grouped = cut(reps.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"))
     rest = cut(candidates(grouped, threshold))
     if not rest.isEmpty():
         more = verified(docs, reps, rest, n, threshold, forest=True).select("a", "b")
-        roots = cut(components(more.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b")))))
+        roots = components(more.union(roots.select(F.col("root").alias("a"), F.col("node").alias("b"))))
     of = reps.join(roots, "node", "left").select("node", "rep", "docs", F.coalesce("root", "node").alias("root"))
     kept = of.groupBy("root").agg(F.min("rep").alias("kept"), F.count("*").alias("n"), F.max("docs").alias("most"))
     of = cut(with_hot(of, cut(kept), "root", "n").where("n > 1 or most > 1").select("node", "kept", "docs"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import batch, cut, fresh, lean
+from .common import batch, cut, fresh, lean, release
 
 MAX_LABELLED = 10_000
 MIN_DOCS = 3
@@ -463,6 +463,7 @@ def induce(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
         return Lexicon(none.hashes, none.polarity, threshold, cut(found.where(F.col("polarity") >= least)))
     place = np.searchsorted(words, known)
     walked = walk(pair_table(docs, words, window), place[seed], place[neutral], size)
+    release()  # the driver has to serve what comes after, too
     least, threshold = _calibrated(walked[place], seed, count, n, in_doc, toxic)
     chosen = walked >= least
     return Lexicon(words[chosen], walked[chosen], threshold)
@@ -517,6 +518,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         return rows.join(_scored(rows.select("__row", "text"), lexicon), "__row", "left").select("doc_id", value.alias("toxicity"), (value >= lexicon.threshold).alias("toxic"))
     schema = pa.schema([("doc_id", pa.int64()), ("toxicity", pa.float64()), ("toxic", pa.bool_())])
     held = docs.sparkSession.sparkContext.broadcast(lexicon)  # BROADCAST_WORDS at most
+    release()  # what the sample and the walks took of the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -536,6 +538,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
         bad = _scored(rows.select(F.col(row).alias("__row"), F.col("text").cast("string").alias("text")), lexicon).where(F.col("__score") >= lexicon.threshold)
         return rows.join(bad.select(F.col("__row").alias(row)), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
     held = docs.sparkSession.sparkContext.broadcast(lexicon)  # BROADCAST_WORDS at most
+    release()  # what the sample and the walks took of the driver
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

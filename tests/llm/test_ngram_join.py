@@ -143,6 +143,23 @@ def test_components_of_a_long_chain(spark):
     assert roots == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_settle_in_one_task_or_in_rounds(spark, monkeypatch):
+    """Few edges take no rounds, each of which plans a dozen exchanges in the driver; many give the same."""
+    r = random.Random(11)
+    pairs = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(60)] + [(-7, 3000), (3000, -7), (5, 5)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    cuts, cut = [], J.cut
+    monkeypatch.setattr(J, "cut", lambda df: cuts.append(1) or cut(df))
+    truth = classes([p for p in pairs if p[0] != p[1]])
+    assert sorted(map(tuple, J.components(edges).collect())) == sorted(truth.items())
+    assert len(cuts) == 2
+    for task_edges in (0, 7, 50):
+        cuts.clear()
+        assert sorted(map(tuple, J.components(edges, task_edges).collect())) == sorted(truth.items())
+        assert len(cuts) > 2
+    assert J.components(edges.limit(0)).count() == J.components(edges.limit(0), 0).count() == 0
+
+
 def test_edge_cases(spark, messy, nothing):
     rows = J.jaccard_join(messy).collect()
     assert rows == []  # repeated rows of an id are one document, and no two documents here are near

@@ -1,4 +1,6 @@
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,24 @@ def test_held_out_documents(spark, labelled):
     assert kept == set(truth) - found
 
 
+def test_the_driver_hands_back_what_induction_took(spark, labelled, monkeypatch):
+    """Freed arrays below others that live on stay with the process unless it is told to give them back."""
+    docs, labels, _ = labelled
+    mb = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+    alive, induce, full = [], X.induce, []
+
+    def wasteful(*args):
+        lexicon = induce(*args)
+        arrays = [np.ones(8000) for _ in range(3000)]  # 64 KB each
+        alive.extend(arrays[::100])
+        full.append(mb())
+        return lexicon
+
+    monkeypatch.setattr(X, "induce", wasteful)
+    X.reject(docs, labels)
+    assert mb() < full[0] - 120
+
+
 def test_the_walk_finds_words_without_labels(spark):
     """A bad word that no labelled document has is induced from its company."""
     r = random.Random(5)
