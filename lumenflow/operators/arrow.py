@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-#: Query vectors are broadcast up to so many, counted first; more of them go in blocks of at most about so many.
+#: Query vectors are broadcast up to so many; more of them go in blocks of so many.
 BROADCAST_QUERIES = 10_000
 #: Products are made for so many (row, query) pairs at once.
 BLOCK = 1 << 17
+#: Vectors that are multiplied by one at once.
+TILE = 1 << 12
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,10 +34,17 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """a @ b.T, each product summed from the first dimension on: as `vectors.dot`, and alike for equal vectors wherever they stand."""
-    out, term = np.zeros((len(a), len(b))), np.empty((len(a), len(b)))
-    left, right = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    for x, y in zip(left, right):
-        out += np.multiply(x[:, None], y, out=term)
+    if len(a) > len(b):
+        return np.ascontiguousarray(dots(b, a).T)
+    out, right = np.empty((len(a), len(b))), b.T
+    for start in range(0, len(b), TILE):
+        tile = np.ascontiguousarray(right[:, start : start + TILE])
+        if tile.shape[1] == 1:  # alone it would be summed in another order
+            tile = np.repeat(tile, 2, axis=1)
+            out[:, start] = [np.einsum("ji,j->i", tile, x)[0] for x in a]
+            continue
+        for k, x in enumerate(a):
+            np.einsum("ji,j->i", tile, x, out=out[k, start : start + TILE])
     return out
 
 
@@ -48,7 +57,7 @@ class Vectors:
         self.parts = []
         for dim in np.unique(lengths[lengths >= 0]).tolist():
             x, ok = matrix(vectors, dim)
-            self.parts.append((dim, np.flatnonzero(ok), x[ok]))
+            self.parts.append((dim, np.flatnonzero(ok), np.asfortranarray(x[ok])))
 
     def products(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """[rows, vectors] inner products, and where both sides are vectors of one length."""
@@ -60,16 +69,11 @@ class Vectors:
 
 
 def blocks(queries: DataFrame, key: str = "query_id", vector: str = "q") -> Iterator[Vectors]:
-    """The queries, BROADCAST_QUERIES at most (about, by hash of the key, where there are more) at a time."""
-    narrow = queries.select(key, vector)
-    first = narrow.limit(BROADCAST_QUERIES + 1).toArrow()
-    if first.num_rows <= BROADCAST_QUERIES:
-        yield Vectors(*(first.column(c).combine_chunks() for c in (key, vector)))
-        return
-    n = -(-2 * queries.count() // BROADCAST_QUERIES)
-    for k in range(n):
-        part = narrow.where(F.pmod(F.xxhash64(key), F.lit(n)) == k).toArrow()
-        yield Vectors(*(part.column(c).combine_chunks() for c in (key, vector)))
+    """The queries, BROADCAST_QUERIES at most at a time. They are made once, and the driver holds them."""
+    found = queries.select(key, vector).toArrow()
+    for start in range(0, max(1, found.num_rows), BROADCAST_QUERIES):
+        part = found.slice(start, BROADCAST_QUERIES)
+        yield Vectors(*(pa.concat_arrays(c.chunks) if (c := part.column(k)).num_chunks else pa.array([], c.type) for k in (key, vector)))
 
 
 def products(rows: DataFrame, queries: DataFrame, lists: Callable[[Vectors], np.ndarray] | None = None) -> DataFrame:

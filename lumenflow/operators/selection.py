@@ -5,10 +5,16 @@ Budgets are per query and video. Each returns the chosen rows with pick, their o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import frames as fr
+from .videos import Choice, best, by_segment, per_video, spaced
 
 STRATEGIES = ("segment_adaptive", "segment", "topk", "nms", "uniform")
 SEGMENT_FACTOR = 8.0
@@ -23,14 +29,26 @@ def topk(scored: DataFrame, budget: int) -> DataFrame:
     return scored.withColumn("pick", F.row_number().over(_best_first())).where(F.col("pick") <= budget)
 
 
+def _picked(frames: DataFrame, queries: DataFrame, choice: Callable[..., Choice], *order: str) -> DataFrame:
+    """What is chosen of each query and video, in its task: query_id, the columns of frames without emb, sim, pick."""
+    names = [c for c in frames.columns if c not in ("video", "emb")]
+    columns = StructType([*frames.select(*names).schema, StructField("sim", DoubleType()), StructField("pick", IntegerType())])
+    return per_video(frames, queries, choice(*names), columns, order or ("frame_idx",))
+
+
+def topk_of(frames: DataFrame, queries: DataFrame, budget: int) -> DataFrame:
+    """`topk` of frames against queries."""
+    return _picked(frames, queries, partial(best, budget))
+
+
 def offset(seed: int, video: Column, i: Column) -> Column:
     """A number in [0, 1) that only the seed, the video and the stratum decide."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), video, i.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def uniform(scored: DataFrame, budget: int, seed: int = 0) -> DataFrame:
+def uniform(scored: DataFrame, budget: int, seed: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """One frame at a random offset of each of `budget` equal strata of a video; in time order."""
-    sized = scored.withColumns({"__at": F.row_number().over(Window.partitionBy(*KEYS).orderBy("frame_idx")) - 1, "__n": F.count("*").over(Window.partitionBy(*KEYS))})
+    sized = scored.withColumns({"__at": F.row_number().over(Window.partitionBy(*keys).orderBy("frame_idx")) - 1, "__n": F.count("*").over(Window.partitionBy(*keys))})
     width = F.col("__n") / F.least(F.lit(budget), F.col("__n")).cast("double")
     stratum = F.least(F.floor((F.col("__at") + 0.5) / width), F.least(F.lit(budget), F.col("__n")) - 1)
     chosen = lambda i: F.floor(i * width + offset(seed, F.col("video"), i.cast("int")) * width)
@@ -39,7 +57,12 @@ def uniform(scored: DataFrame, budget: int, seed: int = 0) -> DataFrame:
     for d in (-1, 0, 1):
         i = stratum + d
         hit = hit | ((i >= 0) & (i < F.least(F.lit(budget), F.col("__n"))) & (chosen(i) == F.col("__at")))
-    return sized.where(hit).withColumn("pick", F.row_number().over(Window.partitionBy(*KEYS).orderBy("frame_idx"))).drop("__at", "__n")
+    return sized.where(hit).withColumn("pick", F.row_number().over(Window.partitionBy(*keys).orderBy("frame_idx"))).drop("__at", "__n")
+
+
+def uniform_of(frames: DataFrame, queries: DataFrame, budget: int, seed: int = 0) -> DataFrame:
+    """`uniform` of frames against queries: neither query nor score decides, so the frames are chosen before they are scored."""
+    return fr.similarity(uniform(frames, budget, seed, ("video",)), queries)
 
 
 def nms(scored: DataFrame, budget: int, window_s: float | None = None) -> DataFrame:
@@ -56,6 +79,15 @@ def nms(scored: DataFrame, budget: int, window_s: float | None = None) -> DataFr
     return rows.select(*KEYS, F.posexplode(kept).alias("at", "r")).select(*KEYS, "r.frame_idx", "r.ts", "r.sim", (F.col("at") + 1).alias("pick"))
 
 
+def nms_of(frames: DataFrame, queries: DataFrame, budget: int, window_s: float | None = None) -> DataFrame:
+    """`nms` of frames against queries; missing scores go last."""
+
+    def window(ts: np.ndarray) -> float:
+        return float(window_s) if window_s is not None else (float(np.nanmax(ts) - np.nanmin(ts)) if len(ts) > 1 else 1.0) / (2.0 * max(1, budget))
+
+    return _picked(frames, queries, partial(spaced, budget, window, True))
+
+
 def segment(scored: DataFrame, budget: int) -> DataFrame:
     """Scored frames with seg_id: every segment's best frame, best segments first, then every second best, and so on."""
     depth = F.row_number().over(Window.partitionBy(*KEYS, "seg_id").orderBy(F.desc("sim"), "frame_idx"))
@@ -65,10 +97,15 @@ def segment(scored: DataFrame, budget: int) -> DataFrame:
     return ranked.withColumn("pick", pick).where(F.col("pick") <= budget).drop("depth", "best")
 
 
+def segment_of(frames: DataFrame, queries: DataFrame, budget: int) -> DataFrame:
+    """`segment` of frames with seg_id against queries."""
+    return _picked(frames, queries, partial(by_segment, budget), "seg_id", "frame_idx")
+
+
 def segment_adaptive(frames: DataFrame, queries: DataFrame, budget: int, factor: float = SEGMENT_FACTOR) -> DataFrame:
     """Segments are cut for the budget: round(factor * budget) of them, at the least similar neighbours."""
     cut = fr.cut_into(fr.adjacent_similarity(frames), round(factor * budget)).drop("adj")
-    return segment(fr.similarity(cut, queries), budget)
+    return segment_of(cut, queries, budget)
 
 
 def select(frames: DataFrame, queries: DataFrame, budget: int, strategy: str = "segment_adaptive", window_s: float | None = None, seed: int = 0, factor: float = SEGMENT_FACTOR) -> DataFrame:
@@ -79,5 +116,4 @@ def select(frames: DataFrame, queries: DataFrame, budget: int, strategy: str = "
         raise ValueError("the budget must be at least 1")
     if strategy == "segment_adaptive":
         return segment_adaptive(frames, queries, budget, factor)
-    scored = fr.similarity(frames, queries)
-    return {"uniform": lambda: uniform(scored, budget, seed), "topk": lambda: topk(scored, budget), "nms": lambda: nms(scored, budget, window_s), "segment": lambda: segment(scored, budget)}[strategy]()
+    return {"uniform": lambda: uniform_of(frames, queries, budget, seed), "topk": lambda: topk_of(frames, queries, budget), "nms": lambda: nms_of(frames, queries, budget, window_s), "segment": lambda: segment_of(frames, queries, budget)}[strategy]()

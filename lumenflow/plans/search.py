@@ -54,7 +54,7 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COLL}, {QS}, {SC}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id, video ORDER BY sim DESC, frame_idx) AS pick FROM sc) SELECT query_id, video, frame_idx, round(sim, 6) AS sim, CAST(pick AS INT) AS pick FROM r WHERE pick <= 8")
 def topk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(se.topk(fr.similarity(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir)), 8), "query_id", "video", "frame_idx", "sim", "pick")
+    return _shown(se.topk_of(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir), 8), "query_id", "video", "frame_idx", "sim", "pick")
 
 
 @query(
