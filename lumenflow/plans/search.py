@@ -71,7 +71,7 @@ def topk_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT out.query_id, out.video, sc.frame_idx, round(sc.sim, 6) AS sim, CAST(pick AS INT) AS pick FROM out JOIN sc ON sc.query_id = out.query_id AND sc.video = out.video AND sc.ts = out.ts"""
 )
 def nms_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(se.nms(fr.similarity(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir)), 8), "query_id", "video", "frame_idx", "sim", "pick")
+    return _shown(se.nms_of(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir), 8), "query_id", "video", "frame_idx", "sim", "pick")
 
 
 @query(f"WITH {COLL}, {QS}, {cut_sql(6)}, {segment_sql(8)}")

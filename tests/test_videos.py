@@ -18,6 +18,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 #: Fewer rows than pairs leave the Python tasks.
 CHOSEN = [
     "topk_frames",
+    "nms_frames",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
