@@ -77,7 +77,7 @@ def nms_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {COLL}, {QS}, {cut_sql(6)}, {segment_sql(8)}")
 def segment_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fr.cut_into(fr.adjacent_similarity(ad.collection(spark, sf_dir)), 6)
-    return _shown(se.segment(fr.similarity(cut.drop("adj"), ad.queries(spark, sf_dir)), 8), "query_id", "video", "frame_idx", "seg_id", "sim", "pick")
+    return _shown(se.segment_of(cut.drop("adj"), ad.queries(spark, sf_dir), 8), "query_id", "video", "frame_idx", "seg_id", "sim", "pick")
 
 
 @query(f"WITH {ONE}, {QS}, {cut_sql(256)}, {segment_sql(32)}")

@@ -19,6 +19,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CHOSEN = [
     "topk_frames",
     "nms_frames",
+    "segment_frames",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
