@@ -20,6 +20,7 @@ CHOSEN = [
     "topk_frames",
     "nms_frames",
     "segment_frames",
+    "segment_adaptive_frames",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
