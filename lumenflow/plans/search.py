@@ -94,7 +94,7 @@ def segment_adaptive_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM pl JOIN chosen ON pl.query_id = chosen.query_id AND pl.video = chosen.video AND pl.place = chosen.place"""
 )
 def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(se.uniform(fr.similarity(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir)), 8), "query_id", "video", "frame_idx", "sim", "pick")
+    return _shown(se.uniform_of(ad.collection(spark, sf_dir), ad.queries(spark, sf_dir), 8), "query_id", "video", "frame_idx", "sim", "pick")
 
 
 @query(f"WITH {COLL}, {ADJ} SELECT video, frame_idx, round(adj, 6) AS adj FROM adj")

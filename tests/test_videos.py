@@ -21,6 +21,7 @@ CHOSEN = [
     "nms_frames",
     "segment_frames",
     "segment_adaptive_frames",
+    "uniform_frames",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
