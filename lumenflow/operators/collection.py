@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames as fr
-from .arrow import Vectors, dots, matrix, nearest, products
+from .arrow import Vectors, dots, matrix, nearest
+from .videos import best, per_video as of_videos, spaced
 
 #: Vectors that an approximate index is fitted to (every frame is then indexed), and those of them that calibrate its probes.
 TRAIN_ROWS, PROBE_QUERIES = 50_000, 500
@@ -53,7 +56,15 @@ def search(frames: DataFrame, queries: DataFrame, k: int = 20, video: str | None
     """query_id, video, ts, sim, rank. `video` is bound as a literal and reaches the scan."""
     if video is not None:
         frames = frames.where(F.col("video") == F.lit(video))
-    return collapse(fr.similarity(frames, queries), k, min_gap_s, per_video)
+    return _collapsed(frames, queries, k, min_gap_s, per_video)
+
+
+def _collapsed(frames: DataFrame, queries: DataFrame, k: int | None, min_gap_s: float, per_video: int | None, lists: Callable[[Vectors], np.ndarray] | None = None) -> DataFrame:
+    """`collapse` of frames against queries, a video in one task: what is kept of it leaves the task, its scores don't."""
+    most = min((x for x in (k, per_video) if x is not None), default=None)
+    choice = spaced(most, lambda _: min_gap_s, False, "ts") if min_gap_s > 0 else best(1 << 62 if most is None else most, "ts")
+    rows = frames.select("video", F.col("ts").cast("double").alias("ts"), *(["list_id"] if lists else []), "emb")
+    return _ranked(of_videos(rows, queries, choice, "ts double, sim double, pick int", ("ts",), lists).drop("pick"), k)
 
 
 def best_per_video(frames: DataFrame, queries: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ CHOSEN = [
     "segment_frames",
     "segment_adaptive_frames",
     "uniform_frames",
+    "collection_search",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
