@@ -23,6 +23,7 @@ CHOSEN = [
     "segment_adaptive_frames",
     "uniform_frames",
     "collection_search",
+    "hits_as_json",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
