@@ -24,6 +24,7 @@ CHOSEN = [
     "uniform_frames",
     "collection_search",
     "hits_as_json",
+    "per_video_cap",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
