@@ -69,8 +69,8 @@ def _collapsed(frames: DataFrame, queries: DataFrame, k: int | None, min_gap_s:
 
 def best_per_video(frames: DataFrame, queries: DataFrame) -> DataFrame:
     """Each video's best frame, videos ranked by it."""
-    best = fr.similarity(frames, queries).groupBy("query_id", "video").agg(F.max(F.struct("sim", (-F.col("frame_idx")).alias("neg"), "ts")).alias("b"))
-    return best.select("query_id", "video", "b.ts", "b.sim", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("b.sim"), "video")).alias("rank"))
+    top = of_videos(frames.select("video", "frame_idx", F.col("ts").cast("double").alias("ts"), "emb"), queries, best(1, "ts"), "ts double, sim double, pick int").drop("pick")
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "video")))
 
 
 def n_lists(n: int) -> int:

@@ -25,6 +25,7 @@ CHOSEN = [
     "collection_search",
     "hits_as_json",
     "per_video_cap",
+    "best_per_video",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
