@@ -132,7 +132,7 @@ def approximate_search(index: DataFrame, centres: DataFrame, queries: DataFrame,
             near[at] = ids[np.argsort(-dots(x, matrix(c, dim)[0]), axis=1, kind="stable")[:, :nprobes]]
         return near
 
-    return collapse(products(index, queries, lists).drop("list_id", "frame_idx"), k, min_gap_s, per_video)
+    return _collapsed(index, queries, k, min_gap_s, per_video, lists)
 
 
 def overlap(exact: DataFrame, found: DataFrame) -> DataFrame:

@@ -26,6 +26,7 @@ CHOSEN = [
     "hits_as_json",
     "per_video_cap",
     "best_per_video",
+    "ann_search",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
