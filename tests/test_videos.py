@@ -27,6 +27,7 @@ CHOSEN = [
     "per_video_cap",
     "best_per_video",
     "ann_search",
+    "ann_recall",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
