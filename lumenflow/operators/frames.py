@@ -17,17 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.vectors import dot, normalised
-from .arrow import BROADCAST_QUERIES, emitted, folded, products
+from .arrow import emitted, folded, products
+from .videos import Choice, Frames, best, per_video
+
 
 def by_time(*keys: str):
     return Window.partitionBy(*(keys or ("video",))).orderBy("frame_idx")
 
 
-def checked_queries(queries: DataFrame) -> DataFrame:
-    """Marked for broadcast if few; a cross join of two large sides goes by a partitioned nested loop."""
-    return F.broadcast(queries) if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES else queries
-
-
 def query_vector(values: list[float], dim: int) -> list[float]:
     """A query as a unit vector; the dimension must be the index's."""
     v = np.asarray(values, float).ravel()
@@ -205,10 +202,15 @@ def statistics(frames: DataFrame, fps: float) -> DataFrame:
 
 def feedback(frames: DataFrame, queries: DataFrame, k: int, weight: float) -> DataFrame:
     """Pseudo-relevance feedback: queries(query_id, q) moved towards the mean of their k best frames, length 1."""
-    scored = similarity(frames, queries).select("query_id", "video", "frame_idx", "sim")
-    best = scored.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "video", "frame_idx"))).where(F.col("n") <= k)
-    means = frames.join(best.select("query_id", "video", "frame_idx"), ["video", "frame_idx"]).groupBy("query_id").agg(mean_vector("emb").alias("v"))
+    top = best_of(frames, queries, k)
+    means = frames.join(top.select("query_id", "video", "frame_idx"), ["video", "frame_idx"]).groupBy("query_id").agg(mean_vector("emb").alias("v"))
     moved = queries.join(means, "query_id").select("query_id", F.zip_with("q", "v", lambda a, b: a.cast("double") * (1 - weight) + b * weight).alias("q"))
     return moved.select("query_id", normalised("q").alias("q"))
 
 
+def best_of(frames: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, video, frame_idx, sim, rank: each query's k best frames of all videos; no video has more than k of them."""
+    found = per_video(frames.select("video", "frame_idx", "emb"), queries, best(k, "frame_idx"), "frame_idx int, sim double, pick int").drop("pick")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "video", "frame_idx"))).where(F.col("rank") <= k)
+
+

@@ -218,9 +218,7 @@ def motion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def feedback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = ad.collection(spark, sf_dir)
-    s = fr.similarity(f, fr.feedback(f, ad.queries(spark, sf_dir), 5, 0.5))
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "video", "frame_idx"))).where("rank <= 20")
-    return _shown(r, "query_id", "video", "frame_idx", "sim", "rank")
+    return _shown(fr.best_of(f, fr.feedback(f, ad.queries(spark, sf_dir), 5, 0.5), 20), "query_id", "video", "frame_idx", "sim", "rank")
 
 
 def collapse_sql(gap: float, per_video: int | None, k: int, source: str = "sc") -> str:

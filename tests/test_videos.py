@@ -28,6 +28,7 @@ CHOSEN = [
     "best_per_video",
     "ann_search",
     "ann_recall",
+    "feedback_search",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
