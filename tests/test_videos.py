@@ -33,6 +33,7 @@ CHOSEN = [
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
     "smoothed_scores",
+    "triangle_smoothed_scores",
 ]
 
 
