@@ -34,6 +34,7 @@ CHOSEN = [
 PAIRS = [
     "smoothed_scores",
     "triangle_smoothed_scores",
+    "motion_scores",
 ]
 
 
