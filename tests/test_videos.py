@@ -35,6 +35,7 @@ PAIRS = [
     "smoothed_scores",
     "triangle_smoothed_scores",
     "motion_scores",
+    "vector_norms",
 ]
 
 
