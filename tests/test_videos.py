@@ -29,6 +29,7 @@ CHOSEN = [
     "ann_search",
     "ann_recall",
     "feedback_search",
+    "chunk_scores_topk",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
