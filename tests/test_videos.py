@@ -30,6 +30,7 @@ CHOSEN = [
     "ann_recall",
     "feedback_search",
     "chunk_scores_topk",
+    "chunk_scores_adaptive",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
