@@ -31,6 +31,7 @@ CHOSEN = [
     "feedback_search",
     "chunk_scores_topk",
     "chunk_scores_adaptive",
+    "chunk_scores_max",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
