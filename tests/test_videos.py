@@ -32,6 +32,7 @@ CHOSEN = [
     "chunk_scores_topk",
     "chunk_scores_adaptive",
     "chunk_scores_max",
+    "chunk_scores_power",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
