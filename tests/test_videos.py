@@ -33,6 +33,7 @@ CHOSEN = [
     "chunk_scores_adaptive",
     "chunk_scores_max",
     "chunk_scores_power",
+    "chunk_scores_mean",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
