@@ -34,6 +34,7 @@ CHOSEN = [
     "chunk_scores_max",
     "chunk_scores_power",
     "chunk_scores_mean",
+    "chunk_scores_softmax",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
