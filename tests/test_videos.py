@@ -35,6 +35,7 @@ CHOSEN = [
     "chunk_scores_power",
     "chunk_scores_mean",
     "chunk_scores_softmax",
+    "chunk_scores_varbonus",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
