@@ -36,6 +36,7 @@ CHOSEN = [
     "chunk_scores_mean",
     "chunk_scores_softmax",
     "chunk_scores_varbonus",
+    "chunk_scores_varpen",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
