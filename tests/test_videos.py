@@ -37,6 +37,7 @@ CHOSEN = [
     "chunk_scores_softmax",
     "chunk_scores_varbonus",
     "chunk_scores_varpen",
+    "confidence_signals",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
