@@ -38,6 +38,7 @@ CHOSEN = [
     "chunk_scores_varbonus",
     "chunk_scores_varpen",
     "confidence_signals",
+    "peakedness",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
