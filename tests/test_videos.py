@@ -39,6 +39,7 @@ CHOSEN = [
     "chunk_scores_varpen",
     "confidence_signals",
     "peakedness",
+    "zscore_descriptors",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
