@@ -40,6 +40,7 @@ CHOSEN = [
     "confidence_signals",
     "peakedness",
     "zscore_descriptors",
+    "best_true_rank",
 ]
 #: Every pair is a row of the result, but no pair is shuffled or joined.
 PAIRS = [
