@@ -85,10 +85,25 @@ def all_metrics(ranked: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str, tie: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, rho: the correlation of ranks, ties by `tie`."""
-    rank = lambda c: F.row_number().over(Window.partitionBy(*keys).orderBy(c, tie)).cast("double")
-    ranked = rows.withColumns({"__a": rank(a), "__b": rank(b)})
-    return (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(F.corr("__a", "__b").alias("rho"))
+    """keys, rho: the correlation of ranks, ties by `tie`, which tells rows of a key apart.
+
+    No key is one task's work: rows are sorted in ranges by (keys, a), then by (keys, b), and keep the number of their
+    range and their place in it. What the places of a key in a range begin with follows from the counts of pairs of ranges.
+    """
+    placed = rows.select(*keys, F.col(a).alias("__x"), F.col(b).alias("__y"), F.col(tie).alias("__t"))
+    for value, name in (("__x", "a"), ("__y", "b")):
+        order = [*keys, value, "__t"]
+        placed = placed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+        placed = placed.withColumns({f"part_{name}": F.shiftright("__id", 33), f"at_{name}": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)).cast("double")}).drop("__id")
+    cells = placed.groupBy(*keys, "part_a", "part_b").agg(F.count("*").cast("double").alias("n"), F.sum("at_a").alias("sum_a"), F.sum("at_b").alias("sum_b"), F.sum(F.col("at_a") * F.col("at_b")).alias("sum_ab"), F.min("at_a").alias("min_a"), F.min("at_b").alias("min_b"))
+    for name in "ab":
+        key = Window.partitionBy(*keys)
+        before = F.coalesce(F.sum("n").over(key.orderBy(f"part_{name}").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        cells = cells.withColumn(f"add_{name}", before + 1 - F.min(f"min_{name}").over(Window.partitionBy(*keys, f"part_{name}")))
+    total = F.sum(F.col("sum_ab") + F.col("add_a") * F.col("sum_b") + F.col("add_b") * F.col("sum_a") + F.col("n") * F.col("add_a") * F.col("add_b"))
+    g = (cells.groupBy(*keys) if keys else cells.groupBy()).agg(F.sum("n").alias("n"), total.alias("ab"))
+    n = F.col("n")
+    return g.select(*keys, F.when(n > 1, (F.col("ab") - n * F.pow((n + 1) / 2, F.lit(2.0))) / (n * (n * n - 1) / 12)).alias("rho"))
 
 
 def sign_agreement(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenflow.operators import events as ev
@@ -189,3 +190,17 @@ def test_bootstrap_by_key(spark):
     v = spark.createDataFrame([(k, i, float(i % 2 + 10 * k)) for k in range(3) for i in range(200)], "k int, i int, x double")
     got = {r["k"]: r for r in po.bootstrap(v, "x", 200, keys=("k",)).collect()}
     assert all(10 * k + 0.4 < got[k]["low"] < got[k]["mean"] == 10 * k + 0.5 < got[k]["high"] < 10 * k + 0.6 for k in range(3))
+
+
+def test_spearman_ranks_a_key_in_many_tasks(spark):
+    """No task gets all rows of a key, equal values and few keys included."""
+    rows = spark.range(4000).select((F.col("id") % 2).alias("k"), (F.col("id") % 5).alias("a"), F.when(F.col("id") % 7 > 0, F.hash("id") % 100).alias("b"), "id").cache()
+    got = mt.spearman(rows, "a", "b", "id", ("k",))
+    rank = lambda c: F.row_number().over(Window.partitionBy("k").orderBy(c, "id")).cast("double")
+    want = {r["k"]: r["rho"] for r in rows.withColumns({"x": rank("a"), "y": rank("b")}).groupBy("k").agg(F.corr("x", "y").alias("rho")).collect()}
+    assert {r["k"]: r["rho"] for r in got.collect()} == pytest.approx(want)
+    whole = rows.withColumns({"x": F.row_number().over(Window.orderBy("a", "id")).cast("double"), "y": F.row_number().over(Window.orderBy("b", "id")).cast("double")})
+    assert mt.spearman(rows, "a", "b", "id").first()["rho"] == pytest.approx(whole.agg(F.corr("x", "y")).first()[0])
+    assert mt.spearman(rows.where("id = 3"), "a", "b", "id", ("k",)).first()["rho"] is None
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2 and "row_number" not in plan
